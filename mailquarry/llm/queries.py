@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import chunking, leakage, tokenizer, truncation
+from mailquarry.llm import chunking, leakage, nearcopies, tokenizer, truncation
 from mailquarry.runtime import read_table
 
 #: Folder with the vocabulary files of public tokenizers.
@@ -27,6 +27,19 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "emails").select("id", F.col("body").alias("text"))
 
 
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
+    return read_table(spark, d, "emails").select("id", F.col("thread_id").alias("thread"), text.alias("text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.near_copies(_messages(spark, d))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.copy_classes(_messages(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(read_table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", tokenizer.BYTE_LEVEL_PATTERN)
 
@@ -49,7 +62,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p7_ids, p8_found, p8_report, p9_found, p9_sources)
+    f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_classes, p7_ids, p8_found, p8_report, p9_found, p9_sources)
 }
 
 _GRAMS = r"""
@@ -62,5 +75,13 @@ leaks AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 
 SQL: dict[str, str] = {
     "p2_found": "SELECT DISTINCT spec_id, id FROM emails JOIN chunk_spec ON length(body) > max_chars WHERE id IS NOT NULL",
+    "p5_found": r"""
+WITH t AS (SELECT DISTINCT id, thread_id, regexp_extract_all(lower(coalesce(subject, '') || ' ' || coalesce(body, '')), '[\p{L}\p{N}]+') AS w FROM emails WHERE id IS NOT NULL),
+g AS (SELECT DISTINCT id, thread_id, array_to_string(w[k:k+2], ' ') AS s FROM (SELECT id, thread_id, w, unnest(range(1, len(w) - 1)) AS k FROM t WHERE len(w) >= 30)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id < b.id
+      WHERE a.thread_id IS NULL OR b.thread_id IS NULL OR a.thread_id <> b.thread_id GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9
+""",
     "p8_found": _GRAMS + "SELECT doc_id, item_id FROM leaks",
 }
