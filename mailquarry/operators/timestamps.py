@@ -55,7 +55,7 @@ MONTHS = {
 }
 _MONTH = {name: n for n, names in MONTHS.items() for name in names.split()}
 
-_TIME = re.compile(r"(?<![\d:])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?![\d:])\s*([ap])?(?:(?<=[ap])\.?m\.?(?![a-z]))?")
+_TIME = re.compile(r"(?<![\d:])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?![\d:])(?:\s*([ap])\.?m\.?(?![a-z]))?")
 _COMPACT = re.compile(r"(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(\d{2})?(?:[.,](\d{1,9}))?")
 _OFFSET = re.compile(r"^(?:gmt|utc)?\s*([+-])(\d{1,2}):?(\d{2})(?!\d)")
 _NUMERIC = re.compile(r"^(\d{1,4})([-/.])(\d{1,2})\2(\d{1,4})$")
