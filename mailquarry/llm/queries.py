@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import chunking, leakage, nearcopies, tokenizer, truncation
+from mailquarry.llm import chunking, leakage, nearcopies, newtext, tokenizer, truncation
 from mailquarry.runtime import read_table
 
 #: Folder with the vocabulary files of public tokenizers.
@@ -27,6 +27,14 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "emails").select("id", F.col("body").alias("text"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    mails = read_table(spark, d, "emails").select(
+        "id", "from_name", "from_addr", "subject", "body", "quoted_text", "date_text", F.col("mailbox").alias("source")
+    )
+    sites = read_table(spark, d, "mailboxes").select(F.col("mailbox").alias("source"), F.col("site_zone").alias("zone"), "date_order")
+    return newtext.new_lines(mails, sites)
+
+
 def _messages(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
     return read_table(spark, d, "emails").select("id", F.col("thread_id").alias("thread"), text.alias("text"))
@@ -62,7 +70,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_classes, p7_ids, p8_found, p8_report, p9_found, p9_sources)
+    f.__name__: f for f in (p2_found, p2_pieces, p4_found, p5_found, p5_classes, p7_ids, p8_found, p8_report, p9_found, p9_sources)
 }
 
 _GRAMS = r"""
