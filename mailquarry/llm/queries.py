@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import chunking, leakage, nearcopies, newtext, tokenizer, truncation
+from mailquarry.llm import chunking, leakage, nearcopies, newtext, pii, tokenizer, truncation
 from mailquarry.runtime import read_table
 
 #: Folder with the vocabulary files of public tokenizers.
@@ -27,6 +27,18 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "emails").select("id", F.col("body").alias("text"))
 
 
+def _name_model(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
+    return pii.name_model(pii.typed_names(read_table(spark, d, "emails"), read_table(spark, d, "mailboxes"), read_table(spark, d, "name_mentions")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.spans(read_table(spark, d, "emails"), _name_model(spark, d)).where(F.col("pii_type").isin(*pii.TYPES))
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(read_table(spark, d, "emails"), _name_model(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     mails = read_table(spark, d, "emails").select(
         "id", "from_name", "from_addr", "subject", "body", "quoted_text", "date_text", F.col("mailbox").alias("source")
@@ -70,7 +82,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p4_found, p5_found, p5_classes, p7_ids, p8_found, p8_report, p9_found, p9_sources)
+    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_masked, p4_found, p5_found, p5_classes, p7_ids, p8_found, p8_report, p9_found, p9_sources)
 }
 
 _GRAMS = r"""
