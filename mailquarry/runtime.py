@@ -42,3 +42,17 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
 def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else ``df`` as it is."""
     return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
+#: Repeated ids are broadcast up to so many, beyond that joined by shuffling.
+BROADCAST_IDS = 500_000
+
+
+def first_deliveries(df: DataFrame, id_col: str = "id", order_col: str = "arrival") -> DataFrame:
+    """``df`` with one row per id, the one with the least ``order_col``; rows without an id are left out.
+
+    Only ids that repeat are gathered, so the wide rows are not shuffled while those ids are few.
+    """
+    again = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col, "_first")
+    joined = df.where(F.col(id_col).isNotNull()).join(broadcast_if(again, BROADCAST_IDS), id_col, "left")
+    return joined.where(F.col("_first").isNull() | (F.col("_first") == F.col(order_col))).drop("_first")
