@@ -74,7 +74,7 @@ _COMPANY = frozenset(
 _PLACE = frozenset("bay blvd citygate county court creek drive field flats gate header house hub interconnect island junction lane lateral line meter north parkway plant point pool ridge road south st station street substation terminal tie town unit west zone east".split())
 _TITLES = frozenset("mr mrs ms miss dr prof herr frau sr sra señor señora monsieur madame mme m sir".split())
 _WORDLIKE = frozenset("will mark grant rose grace frank may april june august bill art sue pat drew dawn faith hope joy chance chase miles rich rob skip victor wade dean earl guy jack josh max melody misty ray robin sandy summer sterling tab tad theo ty van".split())
-_AFTER_WORD = frozenset("the a an it its is was be been this that these those my our your his her their we i you he she they any some all no not up down down in on of for to at as or".split())
+_AFTER_WORD = frozenset("the a an it its is was be been this that these those my our your his her their we i you he she they any some all no not do have see up down down in on of for to at as or".split())
 _GREETING = frozenset("hi hello dear hey hola bonjour cher chère estimado estimada querido querida hallo lieber liebe guten tag morning afternoon evening good ciao".split())
 
 
@@ -303,7 +303,10 @@ class Names:
         after = m[1].lower() if m else ""
         b = re.search(r"([^\W\d_]+)[ \t]*$", text[max(0, s - 24) : s])
         before = b[1].lower() if b else ""
-        if before in _GREETING or text[e : e + 1] in ",:-\r\n" or text[e : e + 2] in (" -", ""):
+        if w.isupper() and len(w) > 1:
+            return False
+        alone = re.match(r"[ \t]*(?:$|\r?\n[ \t>|:}]*(?:\r?\n|$))", text[e : e + 60])
+        if before in _GREETING or text[e : e + 1] in (",", ":", "-") or text[e : e + 2] in (" -", "") or alone:
             return low != "may" or before in _GREETING
         return after not in _AFTER_WORD and not re.match(r"\s*\d", text[e : e + 6]) and low not in ("may", "april", "june", "august")
 
@@ -366,7 +369,7 @@ def name_model(typed: DataFrame) -> dict[str, tuple[int, int]]:
                 if len(parts) != 2 or "," in name or name.isupper() or parts[1].lower() in _COMPANY or parts[0].islower():
                     continue
                 first, surname = fold(parts[0]), fold(parts[1])
-                if surname in local and not (len(surname) > 3 and surname in domain.split(".")[0]):
+                if local.endswith(surname) and not (len(surname) > 3 and surname in domain.split(".")[0]):
                     words += [first, surname]
                     given += [1, 0]
                     last += [0, 1]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquarry.llm import chunking, leakage, nearcopies, newtext, pii, tokenizer, truncation
+from mailquarry.llm import chunking, leakage, namelinks, nearcopies, newtext, pii, tokenizer, truncation
 from mailquarry.runtime import read_table
 
 #: Folder with the vocabulary files of public tokenizers.
@@ -60,6 +60,14 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.copy_classes(_messages(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return namelinks.linked_pairs(read_table(spark, d, "name_mentions"))
+
+
+def p6_entities(spark: SparkSession, d: str) -> DataFrame:
+    return namelinks.link(read_table(spark, d, "name_mentions"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(read_table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", tokenizer.BYTE_LEVEL_PATTERN)
 
@@ -82,7 +90,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_masked, p4_found, p5_found, p5_classes, p7_ids, p8_found, p8_report, p9_found, p9_sources)
+    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_masked, p4_found, p5_found, p5_classes, p6_found, p6_entities, p7_ids, p8_found, p8_report, p9_found, p9_sources)
 }
 
 _GRAMS = r"""
