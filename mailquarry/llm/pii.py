@@ -72,7 +72,7 @@ _COMPANY = frozenset(
     "accounts advisory analytics associates bank brokerage capital co company corp corporation energy gas generation gmbh group holdings inc limited llc logistics lp ltd marketing metering midstream partners petroleum pipeline plc power resources sa services shipping storage systems team trading transmission transport utilities ventures".split()
 )
 _PLACE = frozenset("bay blvd citygate county court creek drive field flats gate header house hub interconnect island junction lane lateral line meter north parkway plant point pool ridge road south st station street substation terminal tie town unit west zone east".split())
-_TITLES = frozenset("mr mrs ms miss dr prof herr frau sr sra señor señora monsieur madame mme m sir".split())
+_TITLES = frozenset("mr mrs ms miss dr prof herr frau sr sra señor señora monsieur madame mme sir".split())
 _WORDLIKE = frozenset("will mark grant rose grace frank may april june august bill art sue pat drew dawn faith hope joy chance chase miles rich rob skip victor wade dean earl guy jack josh max melody misty ray robin sandy summer sterling tab tad theo ty van".split())
 _AFTER_WORD = frozenset("the a an it its is was be been this that these those my our your his her their we i you he she they any some all no not do have see up down down in on of for to at as or".split())
 _GREETING = frozenset("hi hello dear hey hola bonjour cher chère estimado estimada querido querida hallo lieber liebe guten tag morning afternoon evening good ciao".split())
@@ -175,10 +175,10 @@ class Names:
         k = self.cache.get(word)
         if k is None:
             low, plain = word.lower(), fold(word)
-            if low in _TITLES:
-                k = "T"
-            elif len(word) == 1:
+            if len(word) == 1:
                 k = "I"
+            elif low in _TITLES:
+                k = "T"
             elif plain in self.given:
                 k = "G"
             elif plain in self.surname:
