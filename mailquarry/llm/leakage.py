@@ -55,7 +55,7 @@ def window_anchors(item_words: DataFrame, frequencies: DataFrame, min_words: int
     return known.groupBy("item_id").applyInPandas(pick, f"item_id {kind}, ipos int, term string")
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, min_words: int = 10, anchors: int = 3) -> DataFrame:
+def leaked_passages(docs: DataFrame, items: DataFrame, min_words: int = 10, anchors: int = 2) -> DataFrame:
     """(doc_id, item_id, n_words): documents that hold at least ``min_words`` successive words of an item.
 
     ``n_words`` is the length of the longest exact run found. One row per pair.
