@@ -167,6 +167,22 @@ def test_unmarked_history_is_found(spark):
     assert {tuple(r) for r in newtext.new_lines(df, src).collect()} == {("a", 1), ("b", 1), ("c", 1), ("c", 3)}
 
 
+def mails(spark, rows):
+    source = spark.createDataFrame([("s", "UTC", "mdy")], "source string, zone string, date_order string")
+    return spark.createDataFrame(rows, "id string, from_name string, from_addr string, subject string, body string, quoted_text string, date_text string, source string, thread string"), source
+
+
+def test_short_answers_above_history_stay(spark):
+    old = "I would rather match the golf outing now than have the help desk adjust the cafeteria menu on June fourteen please"
+    rows = [
+        ("a", "Bo", "bo@x", "deal", f"Dear Al,\n\n{old}", None, "2001-01-01 10:00Z", None, None),
+        ("b", "Al", "al@x", "Re: deal", f"Konstantin,\n\nPlease go ahead.\n\n{old}", None, "2001-01-02 10:00Z", None, None),
+        ("c", "Al", "al@x", "Re: deal", f"Bo,\n\nWill do.\n\nDear Al,\n\n{old}", None, "2001-01-03 10:00Z", None, None),
+    ]
+    got = {tuple(r) for r in newtext.new_lines(*mails(spark, rows)).collect()}
+    assert got == {("a", 1), ("a", 3), ("b", 1), ("b", 3), ("c", 1), ("c", 3)}
+
+
 def test_name_links(spark):
     rows = [
         (1, "Maren Yarumison", "maren.yarumison@x.example", 9), (2, "Yarumison, Maren K.", "MAREN.YARUMISON@X.EXAMPLE", 1), (3, "Marren Yarumison", "maren_yarumison@x.example", 1), (4, "M. Yarumison", "myarumison@x.example", 1), (5, None, "maren.yarumison@mail.x.example", 1),
