@@ -41,7 +41,7 @@ def p3_masked(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     mails = read_table(spark, d, "emails").select(
-        "id", "from_name", "from_addr", "subject", "body", "quoted_text", "date_text", F.col("mailbox").alias("source")
+        "id", "from_name", "from_addr", "subject", "body", "quoted_text", "date_text", F.col("mailbox").alias("source"), F.col("thread_id").alias("thread")
     )
     sites = read_table(spark, d, "mailboxes").select(F.col("mailbox").alias("source"), F.col("site_zone").alias("zone"), "date_order")
     return newtext.new_lines(mails, sites)

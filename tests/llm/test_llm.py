@@ -183,6 +183,18 @@ def test_short_answers_above_history_stay(spark):
     assert got == {("a", 1), ("a", 3), ("b", 1), ("b", 3), ("c", 1), ("c", 3)}
 
 
+def test_history_is_found_where_a_subject_is_missing(spark):
+    t = [" ".join(f"{w}{k}" for k in range(20)) for w in ("golf", "meter", "plant", "desk")]
+    rows = [
+        ("a", "Bo", "bo@x", "deal", t[0], None, "2001-01-01 10:00Z", None, "t1"), ("b", "Al", "al@x", None, f"No, we wait.\n\n{t[0]}", None, "2001-01-02 10:00Z", None, "t1"),
+        ("c", "Bo", "bo@x", "game", t[1], None, "2001-01-01 10:00Z", None, "t2"), ("d", "Al", "al@x", None, f"Something else.\n\n{t[1]}", None, "2001-01-02 10:00Z", None, "t3"),
+        ("e", "Bo", "bo@x", None, t[2], None, "2001-01-01 10:00Z", None, "t4"), ("f", "Al", "al@x", "Re: x", f"Yes.\n\n{t[2]}", None, "2001-01-02 10:00Z", None, "t4"),
+        ("g", "Bo", "bo@x", None, f"Dear Al,\n\n{t[3]}", None, "2001-01-05 10:00Z", None, "t5"), ("h", "Al", "al@x", "Re: y", f"Yes.\n\n> Dear Al,\n>\n> {t[3]}", None, "2001-01-02 10:00Z", None, "t5"),
+    ]
+    got = {tuple(r) for r in newtext.new_lines(*mails(spark, rows)).collect()}
+    assert got == {("a", 1), ("b", 1), ("c", 1), ("d", 1), ("d", 3), ("e", 1), ("f", 1), ("g", 1), ("g", 3), ("h", 1)}
+
+
 def test_name_links(spark):
     rows = [
         (1, "Maren Yarumison", "maren.yarumison@x.example", 9), (2, "Yarumison, Maren K.", "MAREN.YARUMISON@X.EXAMPLE", 1), (3, "Marren Yarumison", "maren_yarumison@x.example", 1), (4, "M. Yarumison", "myarumison@x.example", 1), (5, None, "maren.yarumison@mail.x.example", 1),
