@@ -89,8 +89,8 @@ def judged(docs: DataFrame) -> DataFrame:
     dotted = (F.length("raw") == F.col("limit")) & F.col("t").rlike(r"\.{3}$")  # dots that a field of fixed length puts in place of the rest
     base = base.withColumn("t", F.when(dotted, F.regexp_replace("t", r"\s*\.+$", "")).otherwise(F.col("t")))
     base = base.withColumn("at_limit", F.coalesce(F.length("raw") >= F.col("limit") - 3, F.lit(False))).drop("limit", "limit_source")
-    tail = F.regexp_replace(F.col("t").substr(F.greatest(F.length("t") - 400, F.lit(0)) + 1, F.lit(401)), r"\r", "")
-    base = base.withColumn("para", F.regexp_replace(F.regexp_extract(tail, r"(?s)^(?:.*\n[ \t]*\n)?(.*)$", 1), r"^\s+", ""))
+    plain = F.regexp_replace("t", r"\r", "")
+    base = base.withColumn("para", F.regexp_replace(F.regexp_extract(plain, r"(?s)^(?:.*\n[ \t]*\n)?(.*)$", 1), r"^\s+", ""))
     line1 = F.lower(F.trim(F.substring_index("para", "\n", 1)))
     base = base.withColumn("line1", line1).withColumn("lastline", F.trim(F.substring_index("t", "\n", -1)))
     sentence = F.col("t").rlike(r"""[.!?][\"'”’)\]]*$""") & ~F.col("t").rlike(r"\b(?:Dr|Mr|Mrs|Ms|Nr|St|Sr|Sra)\.$") & ~(F.col("at_limit") & F.col("t").rlike(r"(?:USD |[$€£])[\d,]+\.$"))
@@ -111,7 +111,7 @@ def judged(docs: DataFrame) -> DataFrame:
     )
     base = base.withColumn("shape", F.when(~F.col("sentence") & short, shape)).join(recurrent, "shape", "left")
     lines = F.size(F.split("para", "\n"))
-    no_prose = ~F.col("para").rlike(r"(?m)^(?:\S+[ \t]+){7,}\S+")
+    no_prose = ~F.col("para").rlike(r"(?m)^(?:\S+[ \t]+){7}\S+")
     closing = (F.col("line1").rlike(f"^{CLOSINGS}[,.!]?$") & (lines >= 2)) | F.col("line1").rlike(r"^(?:[-_=*~]{1,80}|[-–—/~]\s?[\p{L}. ]{2,30})$")
     natural = (
         F.col("sentence")
@@ -124,7 +124,7 @@ def judged(docs: DataFrame) -> DataFrame:
     reason = F.when(F.col("mark"), "mark").when(~natural, "end")
     marks_end = F.col("mark") & ~F.col("raw").rlike(r"[=_*-]{4,}\s*$")
     state = base.select("doc_id", "source", "t", (marks_end | ~natural).alias("ends_open"), "sentence", reason.alias("reason"))
-    longer = strict_prefixes(base.where(F.length("t") >= 20), "doc_id", "t").withColumn("by_prefix", F.lit(True))
+    longer = strict_prefixes(base, "doc_id", "t").withColumn("by_prefix", F.lit(True))
     both = state.join(longer, "t", "left")
     by_prefix = F.coalesce("by_prefix", F.lit(False)) & ~F.col("sentence")
     return both.select("doc_id", "source", (F.col("ends_open") | by_prefix).alias("cut"), by_prefix.alias("by_prefix"), F.when(by_prefix, "prefix").otherwise(F.col("reason")).alias("reason"))

@@ -127,6 +127,13 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_truncation_sees_long_last_paragraphs_and_short_texts(spark):
+    block = "Best regards,\nMaren\n" + "\n".join(f"Haldenmark-Department-{k}-" + "x" * 90 for k in range(5))
+    rows = [(1, f"All is well here.\n\n{block}", "s"), (2, "- item twelve", "s"), (3, "- item twelve is late.", "s"), (4, "All is well here.\n\n" + "We agreed on the terms and wait for the other desk. " * 2000 + "Then the", "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {(r["doc_id"], r["by_prefix"]) for r in truncation.judged(df).where("cut").collect()} == {(2, True), (4, False)}
+
+
 def test_personal_data():
     names = pii.Names({"maren": (9, 0), "will": (5, 0), "mark": (5, 0), "yarumison": (0, 9), "osamann": (0, 4), "rosalind": (5, 0)})
     text = (
