@@ -1,11 +1,15 @@
 """Problem 2: cut oversized items into overlapping pieces at natural boundaries.
 
-The operator never needs a whole item in one place. An item is seen as byte or character *ranges*; a
-worker looks at one range with a halo on either side, so that boundaries near a range's border are seen
-by the worker that owns them. Each worker reports its range's length and its best cut next to the range's
-end (a one-row boundary table per range); the tables are stitched with window functions, prefix sums of
-the lengths turn local positions into positions in the item, and the pieces of each segment between two
-stitched cuts are emitted by offset. An item no longer than one range is one segment.
+Files (:func:`split_files`) are never needed whole in one place. A file is seen as byte *ranges*; a worker
+looks at one range with a halo on either side, so that boundaries near a range's border are seen by the
+worker that owns them. Each worker reports its range's length and its best cut next to the range's end (a
+one-row boundary table per range); the tables are stitched with window functions, prefix sums of the lengths
+turn local positions into positions in the file, and the pieces of each segment between two stitched cuts are
+emitted by offset.
+
+Items of a table (:func:`split_items`) lie whole in their rows and are cut into ranges of characters there.
+Each range finds both of its borders again from its halo; no boundary table is made. An item no longer than
+one range is one segment.
 
 Pieces: at most ``max_chars`` code points; a cut goes after the last paragraph end, else line end, else
 sentence end, else word end in the second half of the allowed window, else at ``max_chars``; a piece
@@ -114,7 +118,7 @@ def split_items(items: DataFrame, specs: DataFrame, range_chars: int = RANGE_CHA
     kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
     columns = [F.col("spec_id").cast("int"), F.col("id").cast("string"), F.col("max_chars").cast("int"), F.col("overlap_chars").cast("int"), "range_no", F.col("lead").cast("int"), "last", F.col("step").cast("int"), "body"]
     made = ranged.select(*columns).mapInArrow(pieces, "spec_id int, id string, start_pos bigint, end_pos bigint, boundary string, piece string, range_no int")
-    # prefix sum of the pieces per range numbers them through the item
+    # numbered through the item by their ends
     counts = Window.partitionBy("spec_id", "id").orderBy("end_pos")
     return made.withColumn("piece_no", F.row_number().over(counts)).select("spec_id", "id", "piece_no", "start_pos", "end_pos", "boundary", "piece")
 
