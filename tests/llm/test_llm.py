@@ -81,6 +81,13 @@ def test_near_copies_equal_brute_force(spark):
     assert got == want and len(want) > 20
     classes = {r["id"]: r for r in nearcopies.copy_classes(df).collect()}
     assert set(classes) == set(sets)
+    links = {i: sum(i in p for p in want) for i in sets}
+    assert {i: r["n_links"] for i, r in classes.items()} == links
+    same = lambda a, b: len(sets[a][1] & sets[b][1]) >= 0.6 * len(sets[a][1] | sets[b][1]) - 1e-9
+    for a in sets:
+        assert classes[a]["class_id"] == min(b for b in sets if classes[b]["class_id"] == classes[a]["class_id"])
+    assert all(classes[a]["class_id"] == classes[b]["class_id"] for a, b in want)
+    assert all(classes[a]["class_id"] == a or any(same(a, b) for b in sets if b != a) for a in sets)
     assert nearcopies.near_copies(df.limit(0)).count() == 0
 
 
