@@ -77,8 +77,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    items = read_table(spark, d, "eval_items")
-    return leakage.leak_report(leakage.leaked_passages(read_table(spark, d, "documents"), items), items)
+    return leakage.leak_report(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.near_passages(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +93,7 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_masked, p4_found, p5_found, p5_classes, p6_found, p6_entities, p7_ids, p8_found, p8_report, p9_found, p9_sources)
+    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_masked, p4_found, p5_found, p5_classes, p6_found, p6_entities, p7_ids, p8_found, p8_report, p8_near, p9_found, p9_sources)
 }
 
 _GRAMS = r"""

@@ -119,7 +119,39 @@ def test_leaks_equal_brute_force(spark):
     a = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(1))
     b = spark.createDataFrame(items, "item_id bigint, text string")
     assert {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(a, b).collect()} == want and want
-    assert leakage.leaked_passages(a.limit(0), b).count() == 0
+    assert leakage.leaked_passages(a.limit(0), b).count() == 0 == leakage.leaked_passages(a, b.limit(0)).count()
+
+
+def test_proximity_matches_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(80)]
+    items = [(i, [rng.choice(vocab) for _ in range(rng.randint(8, 28))]) for i in range(10)]
+    docs = []
+    for d in range(60):
+        w = [rng.choice(vocab) for _ in range(40)]
+        if d % 2 == 0:
+            part = list(items[d % 10][1])
+            for _ in range(rng.randint(0, 7)):
+                i = rng.randrange(len(part))
+                part[i : i + rng.randint(0, 2)] = [rng.choice([*vocab, "zz"]) for _ in range(rng.randint(0, 2))]
+            w[10:10] = part
+        docs.append((d, w))
+
+    def near(item, doc, least=10, reach=15, slop=5):
+        best = 0
+        for low in range(-len(item), len(doc)):
+            hit = [any(0 <= low + d + i < len(doc) and doc[low + d + i] == x for d in range(slop + 1)) for i, x in enumerate(item)]
+            best = max([best, *(sum(hit[s : s + reach]) for s in range(len(item)))])
+        return best if best >= least else 0
+
+    want = {(d, i, n) for d, t in docs for i, s in items if len(s) >= 10 and (n := near(s, t))}
+    a = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    assert {tuple(r) for r in leakage.near_passages(a, b).collect()} == want and len(want) > 10
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 60)
+    assert {tuple(r) for r in leakage.near_passages(a, b).collect()} == want
+    report = {r["item_id"]: r["n_near_docs"] for r in leakage.leak_report(a, b).collect()}
+    assert report == {i: sum(x[1] == i for x in want) for i, _ in items}
 
 
 def test_truncation(spark):
