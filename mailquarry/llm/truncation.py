@@ -2,31 +2,44 @@
 
 Two kinds of evidence are combined.
 
-* Prefix evidence, the method named for the problem: distinct texts are range-partitioned and sorted,
-  so that a strict prefix stands directly before a longer copy; each text is compared with its successor.
+* Prefix evidence, the method named for the problem: every text gives the hashes of its prefixes of fixed
+  lengths (1, 2, 4, ... characters). A text that does not end in a sentence asks under the longest of its own;
+  texts that share that hash and are longer are hashed once more at exactly the lengths asked for, and what
+  agrees is a strict prefix of a longer copy. The lengths asked for under a key are few (less than the key's
+  length), so no pairs of texts are made, however many texts begin alike.
 * End-state evidence, for cut texts of which no longer copy exists anywhere: the text, without marks left
   by the cut, stops neither at a sentence end nor in a signature, list line, link or closing note. Which
-  short last paragraphs are closings or notes is learned from their counts over the whole corpus, beside
-  a fixed list.
+  short last paragraphs are closings or notes is learned from their counts over the distinct texts of the
+  corpus, beside a fixed list; at which lengths a source cuts is learned from the piles in its lengths.
 
-Defined results: null, empty and blank texts are no cases; each stored copy is judged like its twin;
-a null source is a source of its own in the report; extra columns are ignored; empty tables give no rows.
+Each text is read twice, once for its length and once for its ends and hashes; only small rows are kept.
+
+Defined results: null, empty and blank texts are no cases, neither are rows without an id; each stored copy is
+judged like its twin; a null source is a source of its own in the report; extra columns are ignored; empty
+tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A last paragraph's first line counts as a closing or a note if it ends at least so many texts ...
+from mailquarry.runtime import broadcast_if
+
+#: A last paragraph's first line counts as a closing or a note if it ends at least so many different texts ...
 MIN_RECURRENCE = 5
 #: ... and at least this share of the texts that don't end in a sentence.
 MIN_SHARE = 2e-4
-#: A length is a field limit if at least so many texts of a source have exactly it and none is longer.
-MIN_AT_LIMIT = 4
+#: A length is a field limit if at least so many different texts of a source have exactly it, and none is longer
+#: or only half as many have one of the lengths around it.
+MIN_AT_LIMIT, AROUND = 4, 20
+#: Rows of limits, recurring lines and texts asked for that are sent to every executor; more are joined by shuffling.
+BROADCAST_ROWS = 100_000
 
 #: Closing formulas and device notes in the corpus languages, lower case.
 CLOSINGS = (
@@ -35,109 +48,179 @@ CLOSINGS = (
     r"|(?:viele|beste|liebe|schöne) grüße|mit freundlichen grüßen|mfg|gruß|danke)"
 )
 NOTES = r"(?:sent from my .{2,60}|sent via .{2,60}|dictated,? (?:but )?not read|von unterwegs gesendet|gesendet von [\w -]{2,30}|envoyé de [\w -]{2,30}|enviado desde [\w -]{2,30}|to be continued)"
+#: The characters with the Unicode property White_Space, and those that a cut may leave besides.
+WHITE = " \t\n\x0b\x0c\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+LEFT_BY_CUT = WHITE + "\x00�=…"
+
+_SENTENCE = re.compile(r"""[.!?]["'”’)\]]*\Z""")
+_ABBREVIATION = re.compile(r"\b(?:Dr|Mr|Mrs|Ms|Nr|St|Sr|Sra)\.\Z")
+_AMOUNT = re.compile(r"(?:USD |[$€£])[\d,]+\.\Z")
+_PROSE = re.compile(r"^(?:\S+[ \t]+){7}\S+", re.M | re.A)
+_CLOSING = re.compile(f"{CLOSINGS}[,.!]?")
+_RULE_OR_NAME = re.compile(r"[-_=*~]{1,80}|[-–—/~][ \t]?(?:[^\W\d_]|[. ]){2,30}")
+_NOTE = re.compile(rf"[-~*_ ]*{NOTES}[-~*_ ]*", re.I)
+_LINK = re.compile(r"<?(?:(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\w+)>?", re.I)
+_ITEM = re.compile(r"(?:[-*•]|\d{1,2}[.)])\s")
+_LAID_OUT = re.compile(r"[=_*-]{4,}\s*\Z")
 
 
-def _stripped(text: Column) -> Column:
-    """The text without the bytes and marks that a cut may leave: replacement signs, soft line ends, dots of omission, white space."""
-    return F.regexp_replace(text, r"(?U)[\s\x00�=…]+$", "")
+def field_limits(docs: DataFrame) -> DataFrame:
+    """(source, unit, limit, n): lengths in characters or bytes at which different texts of a source pile up."""
+    whole = F.col("text")
+    lengths = docs.where(F.length(F.trim("text")) > 0).select(
+        "source", F.xxhash64(whole).alias("h"), F.posexplode(F.array(F.length(whole), F.octet_length(F.when(whole.endswith("�"), F.regexp_replace(whole, "�+$", "")).otherwise(whole)))).alias("unit", "len")
+    )
+    piles = lengths.groupBy("source", "unit", "len").agg(F.countDistinct("h").alias("n"))
+    per = Window.partitionBy("source", "unit")
+    around = F.sum("n").over(per.orderBy("len").rangeBetween(-AROUND, AROUND)) - F.col("n")
+    seen = piles.withColumn("around", around).withColumn("top", F.max("len").over(per))
+    limit = (F.col("n") >= MIN_AT_LIMIT) & ((F.col("len") == F.col("top")) | (F.col("n") >= 2 * F.col("around")))
+    return seen.where(limit).select("source", F.when(F.col("unit") == 0, "chars").otherwise("bytes").alias("unit"), F.col("len").cast("int").alias("limit"), "n")
+
+
+def _last_paragraph(text: str) -> str:
+    """What follows the last blank line."""
+    end = text.rfind("\n")
+    while end > 0:
+        before = text.rfind("\n", 0, end)
+        if before < 0:
+            break
+        if not text[before + 1 : end].strip(" \t"):
+            return text[end + 1 :]
+        end = before
+    return text
+
+
+def end_state(text: str, limits: list[int]) -> tuple[str, bool, bool, bool, bool, bool, str | None]:
+    """(text without what a cut leaves, sentence, mark, marks count as an end, natural, free of prose, shape) of a text with visible letters.
+
+    ``natural`` leaves out what is learned; ``shape`` is the first line of the last paragraph, if it is short enough to recur.
+    """
+    t = text.rstrip(LEFT_BY_CUT)
+    if t.endswith("...") and len(text) in limits:  # dots that a field of fixed length puts in place of the rest
+        t = t.rstrip(".").rstrip()
+    para = _last_paragraph(t.replace("\r", "")).lstrip()
+    line1, last = para.split("\n", 1)[0].strip(" ").lower(), t.rsplit("\n", 1)[-1].strip(" ")
+    sentence = bool(_SENTENCE.search(t[-12:])) and not _ABBREVIATION.search(t[-6:]) and not (_AMOUNT.search(t[-40:]) and any(x - 3 <= len(text) <= x for x in limits))
+    visible = text.rstrip(WHITE)
+    mark = visible.endswith(("�", "="))
+    flat = not _PROSE.search(para)
+    lines = para.count("\n") + 1
+    natural = (
+        sentence
+        or (flat and lines <= 8 and ((lines >= 2 and bool(_CLOSING.fullmatch(line1))) or bool(_RULE_OR_NAME.fullmatch(line1))))
+        or bool(_NOTE.fullmatch(last))
+        or bool(_LINK.fullmatch(last))
+        or (flat and bool(_ITEM.match(last)))
+    )
+    shape = re.sub("[0-9]", "9", line1) if not sentence and 3 <= len(line1) <= 44 else None
+    return t, sentence, mark, mark and not _LAID_OUT.search(visible[-80:]), natural, flat, shape
 
 
-def strict_prefixes(texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(``text_col``): the distinct texts that are strict prefixes of a longer text of the table.
+def _fixed(n: int) -> list[int]:
+    """The fixed lengths up to ``n``."""
+    return [1 << k for k in range(n.bit_length())]
+
+
+def _key(text: str, length: int) -> int:
+    return xxhash.xxh3_64_intdigest(text[:length], length) - (1 << 63)
+
+
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text)
+
+
+def _hashes(texts: list[str], asking: list[bool]) -> list[pa.Array]:
+    """Columns n, digest, own (the key asked under, null if not asking) and keys of texts."""
+    keys = [[_key(t, n) for n in _fixed(len(t))] for t in texts]
+    own = [k[-1] if a else None for k, a in zip(keys, asking)]
+    return [pa.array([len(t) for t in texts], pa.int32()), pa.array([_digest(t) for t in texts], pa.binary()), pa.array(own, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+
 
-    The texts are sorted over range partitions; partitions' first and last texts are compared once more,
-    across the partition borders.
+_HASHED = "n int, digest binary, own bigint, keys array<bigint>"
+
+
+def _prefix_digests(hashed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest): of the asking texts of ``hashed`` (doc_id and the columns of ``_hashes``) those that are strict prefixes of a longer one.
+
+    ``texts`` (doc_id, t) has the same texts, with or without what a cut leaves; of these only the few that share a key
+    with a shorter one are read.
     """
-    distinct = texts.where(F.length(text_col) > 0).select(F.col(text_col).alias("t")).distinct()
-    in_order = distinct.repartitionByRange(F.col("t")).sortWithinPartitions("t").withColumn("part", F.spark_partition_id())
+    asked = hashed.where("own is not null").select("own", "n", "digest").distinct()
+    lengths = asked.groupBy(F.col("own").alias("key")).agg(F.collect_set("n").alias("lengths"), F.min("n").alias("shortest"))
+    # copies of one text offer once
+    offers = hashed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")).select("doc_id", "n", F.explode("keys").alias("key"))
+    wanted = offers.join(lengths, "key").where("n > shortest").groupBy("doc_id").agg(F.first("n").alias("whole"), F.array_distinct(F.flatten(F.collect_list("lengths"))).alias("lengths"))
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, part, first = None, 0, None
-        out: list[tuple[str, int, str]] = []
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if before is None:
-                    first, part = text, p
-                elif text.startswith(before):
-                    out.append((before, p, "prefix"))
-                before = text
-        if before is not None:
-            out += [(first, part, "first"), (before, part, "last")]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["t", "part", "kind"])
-
-    found = in_order.mapInArrow(neighbours, "t string, part int, kind string").persist()
-    last = found.where("kind = 'last'").select("t", "part")
-    first = found.where("kind = 'first'").select(F.col("t").alias("after"), F.col("part").alias("after_part"))
-    following = last.join(first, F.col("after_part") > F.col("part")).groupBy("part", "t").agg(F.min_by("after", "after_part").alias("after"))
-    across = following.where(F.col("after").startswith(F.col("t"))).select("t")
-    return found.where("kind = 'prefix'").select("t").unionByName(across).distinct().select(F.col("t").alias(text_col))
+            found = {(n, _digest(t[:n])) for t, whole, ns in zip(*(c.to_pylist() for c in batch.columns)) for n in ns if n < whole}
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], ["n", "digest"])
 
+    cut = texts.join(broadcast_if(wanted, BROADCAST_ROWS), "doc_id").select("t", "whole", "lengths").mapInArrow(again, "n int, digest binary")
+    return asked.join(cut, ["n", "digest"], "left_semi").select("digest").distinct()
 
-def field_limits(docs: DataFrame) -> DataFrame:
-    """(source, unit, limit, n): lengths in characters or bytes at which a source's longest texts pile up."""
-    lengths = docs.where(F.length(F.trim("text")) > 0).select("source", F.posexplode(F.array(F.length("text"), F.octet_length(F.regexp_replace("text", "�+$", "")))).alias("unit", "len"))
-    piles = lengths.groupBy("source", "unit", "len").count()
-    top = piles.groupBy("source", "unit").agg(F.max("len").alias("limit"), F.max_by("count", "len").alias("n"))
-    return top.where(F.col("n") >= MIN_AT_LIMIT).select("source", F.when(F.col("unit") == 0, "chars").otherwise("bytes").alias("unit"), F.col("limit").cast("int").alias("limit"), "n")
+
+def strict_prefixes(texts: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(``text_col``): the distinct texts that are strict prefixes of a longer text of the table; rows without a key are left out."""
+    own = texts.where(F.length(text_col) > 0).where(F.col(key_col).isNotNull()).select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_hashes(t, [True] * len(t))], ["doc_id", "t", "n", "digest", "own", "keys"])
+
+    hashed = own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, t string, {_HASHED}")
+    return hashed.join(_prefix_digests(hashed, own), "digest", "left_semi").select(F.col("t").alias(text_col)).distinct()
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, source, cut boolean, by_prefix boolean, reason): one row per document with visible text."""
-    limits = field_limits(docs).where("unit = 'chars'").select(F.col("source").alias("limit_source"), "limit")
-    base = docs.where("text is not null").select("doc_id", "source", F.col("text").alias("raw"), _stripped(F.col("text")).alias("t")).where(F.length("t") > 0)
-    base = base.join(limits, F.col("source").eqNullSafe(F.col("limit_source")), "left")
-    dotted = (F.length("raw") == F.col("limit")) & F.col("t").rlike(r"\.{3}$")  # dots that a field of fixed length puts in place of the rest
-    base = base.withColumn("t", F.when(dotted, F.regexp_replace("t", r"\s*\.+$", "")).otherwise(F.col("t")))
-    base = base.withColumn("at_limit", F.coalesce(F.length("raw") >= F.col("limit") - 3, F.lit(False))).drop("limit", "limit_source")
-    plain = F.regexp_replace("t", r"\r", "")
-    base = base.withColumn("para", F.regexp_replace(F.regexp_extract(plain, r"(?s)^(?:.*\n[ \t]*\n)?(.*)$", 1), r"^\s+", ""))
-    line1 = F.lower(F.trim(F.substring_index("para", "\n", 1)))
-    base = base.withColumn("line1", line1).withColumn("lastline", F.trim(F.substring_index("t", "\n", -1)))
-    sentence = F.col("t").rlike(r"""[.!?][\"'”’)\]]*$""") & ~F.col("t").rlike(r"\b(?:Dr|Mr|Mrs|Ms|Nr|St|Sr|Sra)\.$") & ~(F.col("at_limit") & F.col("t").rlike(r"(?:USD |[$€£])[\d,]+\.$"))
-    mark = F.col("raw").rlike("(?:�+|=)\\s*$")
-    base = base.withColumn("sentence", sentence).withColumn("mark", mark)
-    # counts of short first lines of last paragraphs, over all texts that don't end in a sentence
-    shape = F.regexp_replace("line1", r"\d", "9")
-    short = F.length("line1").between(3, 44)
-    open_ended = base.where(~F.col("sentence") & ~F.col("mark"))
+    kind = dict(docs.dtypes)["doc_id"]
+    limits = field_limits(docs).where("unit = 'chars'").groupBy(F.col("source").alias("limit_source")).agg(F.collect_set("limit").alias("limits"))
+    read = docs.where("text is not null and doc_id is not null").select("doc_id", "source", "text")
+    read = read.join(broadcast_if(limits, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("limit_source")), "left").select("doc_id", "source", "text", "limits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, states = [], []
+            for i, (text, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if text.strip(LEFT_BY_CUT):
+                    at.append(i)
+                    states.append(end_state(text, own or []))
+            taken = batch.take(pa.array(at, pa.int64()))
+            flags = [pa.array([s[k] for s in states], pa.bool_()) for k in range(1, 6)]
+            hashes = _hashes([s[0] for s in states], [not s[1] for s in states])
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *flags, pa.array([s[6] for s in states], pa.string()), *hashes], names)
+
+    names = ["doc_id", "source", "sentence", "mark", "marks_end", "natural", "flat", "shape", "n", "digest", "own", "keys"]
+    base = read.mapInArrow(run, f"doc_id {kind}, source string, sentence boolean, mark boolean, marks_end boolean, natural boolean, flat boolean, shape string, {_HASHED}").persist()
+    base.count()  # made once, before the plans over it start side by side
+
+    # counts of short first lines of last paragraphs, over the different texts that don't end in a sentence
+    open_ended = base.where("not sentence and not mark").groupBy("digest").agg(F.first("shape").alias("shape"), F.min("source").alias("low"), F.max("source").alias("high"))
     total = open_ended.agg(F.count(F.lit(1)).alias("total"))
-    recurrent = (
-        open_ended.where(short)
-        .groupBy(shape.alias("shape"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("para").contains("\n").cast("int")).alias("blocks"), F.countDistinct("source").alias("sources"))
-        .crossJoin(F.broadcast(total))
-        .where((F.col("n") >= F.greatest(F.lit(MIN_RECURRENCE), F.col("total") * MIN_SHARE)) & (F.col("sources") > 1))
-        .select("shape", F.lit(True).alias("known"))
-    )
-    base = base.withColumn("shape", F.when(~F.col("sentence") & short, shape)).join(recurrent, "shape", "left")
-    lines = F.size(F.split("para", "\n"))
-    no_prose = ~F.col("para").rlike(r"(?m)^(?:\S+[ \t]+){7}\S+")
-    closing = (F.col("line1").rlike(f"^{CLOSINGS}[,.!]?$") & (lines >= 2)) | F.col("line1").rlike(r"^(?:[-_=*~]{1,80}|[-–—/~]\s?[\p{L}. ]{2,30})$")
-    natural = (
-        F.col("sentence")
-        | (closing & no_prose & (lines <= 8))
-        | F.col("lastline").rlike(rf"(?i)^[-~*_ ]*{NOTES}[-~*_ ]*$")
-        | F.col("lastline").rlike(r"(?i)^(?:<?(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\w+)>?$")
-        | (F.col("lastline").rlike(r"^(?:[-*•]|\d{1,2}[.)])\s") & no_prose)
-        | (F.coalesce("known", F.lit(False)) & no_prose)
-    )
-    reason = F.when(F.col("mark"), "mark").when(~natural, "end")
-    marks_end = F.col("mark") & ~F.col("raw").rlike(r"[=_*-]{4,}\s*$")
-    state = base.select("doc_id", "source", "t", (marks_end | ~natural).alias("ends_open"), "sentence", reason.alias("reason"))
-    longer = strict_prefixes(base, "doc_id", "t").withColumn("by_prefix", F.lit(True))
-    both = state.join(longer, "t", "left")
+    counted = open_ended.where("shape is not null").groupBy("shape").agg(F.count(F.lit(1)).alias("times"), (F.min("low") < F.max("high")).alias("spread"))
+    least = F.greatest(F.lit(MIN_RECURRENCE), F.col("total") * MIN_SHARE)
+    recurrent = counted.join(F.broadcast(total), F.col("spread")).where(F.col("times") >= least).select("shape", F.lit(True).alias("known"))  # one row of totals
+
+    longer = _prefix_digests(base, read.select("doc_id", F.col("text").alias("t"))).withColumn("by_prefix", F.lit(True))
+    both = base.drop("keys").join(broadcast_if(recurrent, BROADCAST_ROWS), "shape", "left").join(broadcast_if(longer, BROADCAST_ROWS), "digest", "left")
+    natural = F.col("natural") | (F.coalesce("known", F.lit(False)) & F.col("flat"))
     by_prefix = F.coalesce("by_prefix", F.lit(False)) & ~F.col("sentence")
-    return both.select("doc_id", "source", (F.col("ends_open") | by_prefix).alias("cut"), by_prefix.alias("by_prefix"), F.when(by_prefix, "prefix").otherwise(F.col("reason")).alias("reason"))
+    reason = F.when(by_prefix, "prefix").when(F.col("mark"), "mark").when(~natural, "end")
+    return both.select("doc_id", "source", (F.col("marks_end") | ~natural | by_prefix).alias("cut"), by_prefix.alias("by_prefix"), reason.alias("reason"))
 
 
 def truncated(docs: DataFrame) -> DataFrame:
     """(doc_id): the documents whose text was cut."""
-    return judged(docs).where("cut and doc_id is not null").select("doc_id").distinct()
+    return judged(docs).where("cut").select("doc_id").distinct()
 
 
 def truncation_by_source(docs: DataFrame) -> DataFrame:
-    """(source, n_docs, n_cut, share, char_limit, byte_limit): how often each source truncates, and its limits if there are any."""
+    """(source, n_docs, n_cut, share, char_limit, byte_limit): how often each source truncates, and the length at which most of its texts pile up."""
     per = judged(docs).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("cut").cast("bigint")).alias("n_cut"))
-    limits = field_limits(docs).groupBy("source").agg(F.max(F.when(F.col("unit") == "chars", F.col("limit"))).alias("char_limit"), F.max(F.when(F.col("unit") == "bytes", F.col("limit"))).alias("byte_limit"))
+    best = lambda unit: F.max_by(F.when(F.col("unit") == unit, F.col("limit")), F.when(F.col("unit") == unit, F.struct("n", "limit")))
+    limits = field_limits(docs).groupBy("source").agg(best("chars").alias("char_limit"), best("bytes").alias("byte_limit"))
     joined = per.alias("a").join(limits.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
     return joined.select("a.source", "n_docs", "n_cut", F.round(F.col("n_cut") / F.col("n_docs"), 6).alias("share"), "char_limit", "byte_limit")
