@@ -157,7 +157,7 @@ def _prefix_digests(hashed: DataFrame, texts: DataFrame) -> DataFrame:
             found = {(n, _digest(t[:n])) for t, whole, ns in zip(*(c.to_pylist() for c in batch.columns)) for n in ns if n < whole}
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], ["n", "digest"])
 
-    cut = texts.join(broadcast_if(wanted, BROADCAST_ROWS), "doc_id").select("t", "whole", "lengths").mapInArrow(again, "n int, digest binary")
+    cut = texts.join(broadcast_if(wanted.persist(), BROADCAST_ROWS), "doc_id").select("t", "whole", "lengths").mapInArrow(again, "n int, digest binary")
     return asked.join(cut, ["n", "digest"], "left_semi").select("digest").distinct()
 
 
@@ -179,7 +179,7 @@ def judged(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     limits = field_limits(docs).where("unit = 'chars'").groupBy(F.col("source").alias("limit_source")).agg(F.collect_set("limit").alias("limits"))
     read = docs.where("text is not null and doc_id is not null").select("doc_id", "source", "text")
-    read = read.join(broadcast_if(limits, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("limit_source")), "left").select("doc_id", "source", "text", "limits")
+    read = read.join(broadcast_if(limits.persist(), BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("limit_source")), "left").select("doc_id", "source", "text", "limits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +205,7 @@ def judged(docs: DataFrame) -> DataFrame:
     recurrent = counted.join(F.broadcast(total), F.col("spread")).where(F.col("times") >= least).select("shape", F.lit(True).alias("known"))  # one row of totals
 
     longer = _prefix_digests(base, read.select("doc_id", F.col("text").alias("t"))).withColumn("by_prefix", F.lit(True))
-    both = base.drop("keys").join(broadcast_if(recurrent, BROADCAST_ROWS), "shape", "left").join(broadcast_if(longer, BROADCAST_ROWS), "digest", "left")
+    both = base.drop("keys").join(broadcast_if(recurrent.persist(), BROADCAST_ROWS), "shape", "left").join(broadcast_if(longer.persist(), BROADCAST_ROWS), "digest", "left")
     natural = F.col("natural") | (F.coalesce("known", F.lit(False)) & F.col("flat"))
     by_prefix = F.coalesce("by_prefix", F.lit(False)) & ~F.col("sentence")
     reason = F.when(by_prefix, "prefix").when(F.col("mark"), "mark").when(~natural, "end")
