@@ -1,15 +1,11 @@
 """Problem 2: cut oversized items into overlapping pieces at natural boundaries.
 
-Files (:func:`split_files`) are never needed whole in one place. A file is seen as byte *ranges*; a worker
-looks at one range with a halo on either side, so that boundaries near a range's border are seen by the
-worker that owns them. Each worker reports its range's length and its best cut next to the range's end (a
-one-row boundary table per range); the tables are stitched with window functions, prefix sums of the lengths
-turn local positions into positions in the file, and the pieces of each segment between two stitched cuts are
-emitted by offset.
-
-Items of a table (:func:`split_items`) lie whole in their rows and are cut into ranges of characters there.
-Each range finds both of its borders again from its halo; no boundary table is made. An item no longer than
-one range is one segment.
+An item is seen as *ranges*, of characters for the items of a table (:func:`split_items`) and of bytes for
+files (:func:`split_files`), which are never needed whole in one place. A worker looks at one range with a
+halo, so that boundaries near a range's border are seen by the worker that owns them. Each range reports its
+length and its best cut next to its end (a one-row boundary table per range); the tables are stitched with
+window functions, prefix sums of the lengths turn local positions into positions in the item, and the pieces
+of each segment between two stitched cuts are emitted by offset.
 
 Pieces: at most ``max_chars`` code points; a cut goes after the last paragraph end, else line end, else
 sentence end, else word end in the second half of the allowed window, else at ``max_chars``; a piece
@@ -28,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Code points of a range of a table's item; longer items are worked on range by range.
-RANGE_CHARS = 1 << 18
+#: Code points of a range of a table's item, and at least four pieces.
+RANGE_CHARS = 1 << 12
 #: Bytes of a file's range.
 RANGE_BYTES = 8 << 20
 
@@ -87,37 +83,48 @@ def _stitched(bounds: DataFrame, keys: list[str]) -> DataFrame:
 def split_items(items: DataFrame, specs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """(spec_id, id, piece_no, start_pos, end_pos, boundary, piece) of the items (id, text) over a limit.
 
-    ``specs`` (spec_id, max_chars, overlap_chars) is a small control table and is broadcast.
+    ``specs`` (spec_id, max_chars, overlap_chars) is a small control table and is broadcast. A text goes through
+    one shuffle, that by its id; boundary tables travel to it, not the text to them.
     """
-    limits = specs.where("spec_id is not null and max_chars > 0").select("spec_id", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars")).distinct()
+    limits = specs.where("spec_id is not null and max_chars > 0").select(F.col("spec_id").cast("int").alias("spec_id"), F.col("max_chars").cast("int").alias("max_chars"), F.coalesce("overlap_chars", F.lit(0)).cast("int").alias("overlap_chars")).distinct()
     least = limits.agg(F.min("max_chars").alias("least"))
-    long_items = items.where("id is not null and text is not null").crossJoin(F.broadcast(least)).where(F.length("text") > F.col("least")).select("id", "text").dropDuplicates(["id"])
-    each = long_items.join(F.broadcast(limits), F.length("text") > F.col("max_chars"))
-    # Ranges with a halo of the largest piece on either side; most items are a single range.
-    ranged = each.withColumn("n", F.length("text")).withColumn("step", F.greatest(F.lit(range_chars), 4 * F.col("max_chars")))
-    ranged = ranged.withColumn("range_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("step")).cast("int"))))
+    named = items.where("id is not null and text is not null").select(F.col("id").cast("string").alias("id"), "text")
+    long_items = named.crossJoin(F.broadcast(least)).where(F.length("text") > F.col("least")).select("id", "text").dropDuplicates(["id"])
+    each = long_items.join(F.broadcast(limits), F.length("text") > F.col("max_chars")).withColumn("n", F.length("text")).withColumn("step", F.greatest(F.lit(range_chars), 4 * F.col("max_chars")))
     halo = F.col("max_chars") + F.col("overlap_chars")
+
+    # First pass: every range reports its length and its cut; it sees the text before its end only as far as a border may lie.
+    ends = each.withColumn("range_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("step")).cast("int"))))
     begin = F.col("range_no") * F.col("step")
-    ranged = ranged.withColumn("lead", F.least(begin, halo)).withColumn("last", begin + F.col("step") >= F.col("n"))
-    ranged = ranged.withColumn("body", F.col("text").substr(begin - F.col("lead") + 1, F.col("lead") + F.col("step") + halo)).drop("text", "n")
+    length = F.least(F.col("step"), F.col("n") - begin)
+    tail = F.col("text").substr(begin + length - F.least(length, F.col("max_chars")) + 1, F.least(length, F.col("max_chars")))
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = [k if last else k - len(t) + _border(t, len(t), size) for size, last, k, t in zip(*(batch.column(i).to_pylist() for i in (2, 4, 5, 6)))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3, 5)), pa.array(cuts, pa.int64())], ["spec_id", "id", "range_no", "length", "cut"])
+
+    reported = ends.select("spec_id", "id", "max_chars", "range_no", (begin + F.col("step") >= F.col("n")).alias("last"), length.cast("bigint").alias("length"), tail.alias("tail"))
+    table = reported.mapInArrow(bounds, "spec_id int, id string, range_no int, length bigint, cut bigint")
+    stitched = _stitched(table, ["id", "spec_id"]).groupBy("id").agg(F.collect_list(F.struct("spec_id", "base", "seg_start", "seg_end")).alias("segments"))
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Second pass: the pieces of each stitched segment, by offset, with the halo that its first overlap needs.
+    both = each.join(stitched, "id").withColumn("s", F.explode(F.expr("filter(segments, s -> s.spec_id = spec_id)"))).where("s.seg_end > s.seg_start")
+    lead = F.least(F.col("s.seg_start"), halo.cast("bigint"))
+    body = F.col("text").substr((F.col("s.seg_start") - lead + 1).cast("int"), (F.col("s.seg_end") - F.col("s.seg_start") + lead).cast("int"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for spec, ident, size, over, no, lead, last, step, body in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                # The segment starts at the cut that the range before chose next to its end, which this halo lets us repeat.
-                first = _border(body, lead, size) if no else 0
-                stop = len(body) if last else _border(body, lead + step, size)
-                base = no * step - lead
-                for start, end, level in cut_text(body[:stop], size, over, first):
-                    for column, value in zip(out, (spec, ident, base + start, base + end, level, body[start:end], no)):
+            out: list[list] = [[] for _ in names]
+            for spec, ident, size, over, begin_, lead_, text in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                for start, end, level in cut_text(text, size, over, lead_):
+                    for column, value in zip(out, (spec, ident, begin_ - lead_ + start, begin_ - lead_ + end, level, text[start:end])):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
-    names = ["spec_id", "id", "start_pos", "end_pos", "boundary", "piece", "range_no"]
-    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-    columns = [F.col("spec_id").cast("int"), F.col("id").cast("string"), F.col("max_chars").cast("int"), F.col("overlap_chars").cast("int"), "range_no", F.col("lead").cast("int"), "last", F.col("step").cast("int"), "body"]
-    made = ranged.select(*columns).mapInArrow(pieces, "spec_id int, id string, start_pos bigint, end_pos bigint, boundary string, piece string, range_no int")
+    names = ["spec_id", "id", "start_pos", "end_pos", "boundary", "piece"]
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    made = both.select("spec_id", "id", "max_chars", "overlap_chars", F.col("s.seg_start").alias("begin"), lead.alias("lead"), body.alias("body")).mapInArrow(emit, "spec_id int, id string, start_pos bigint, end_pos bigint, boundary string, piece string")
     # numbered through the item by their ends
     counts = Window.partitionBy("spec_id", "id").orderBy("end_pos")
     return made.withColumn("piece_no", F.row_number().over(counts)).select("spec_id", "id", "piece_no", "start_pos", "end_pos", "boundary", "piece")
