@@ -4,14 +4,17 @@ Every text is parsed under each format that it is valid for (named months, year-
 day-month-year, seconds, milli-, micro- or nanoseconds since 1970). A source's formats are taken as a
 mixture: values contribute likelihood under each of their valid parses, expectation-maximisation over the
 per-source counts of candidate sets gives the weights, and the posterior of each candidate set chooses the
-interpretation or marks it as ambiguous. A source's declared day-month order restricts its candidates.
+interpretation or marks it as ambiguous. A source's declared day-month order enters as a likelihood: a reading
+against it is ``AGAINST`` times as likely as one that agrees, and a value that only such readings fit may also be
+mistyped. So both readings of 02/03/99 survive to the mixture, and the source's own counts and declaration decide.
 
 The zone is an explicit offset, else a zone name, else zone letters, else the source's own zone. A local time
 that never happened or happened twice in its zone is not resolved.
 
 Defined results: null, empty and unreadable texts have status ``unreadable``; dates without a time of day
 ``no_time``; zone-less times of an unknown source ``no_zone``; local times in a gap or an overlap ``gap`` and
-``overlap``; candidate sets without a clear posterior ``ambiguous``. Of rows that repeat an id the first
+``overlap``; bare counts that lie in no unit within ``COUNT_YEARS`` ``no_unit``; values that fit their source's
+declared order in no way ``mistyped``; candidate sets without a clear posterior ``ambiguous``. Of rows that repeat an id the first
 arrival counts; null ids are left out; extra columns are ignored; empty tables give no rows.
 """
 
@@ -35,6 +38,10 @@ BROADCAST_SOURCES = 100_000
 #: A candidate is chosen if its posterior is at least this.
 MIN_POSTERIOR = 0.95
 EM_ROUNDS = 50
+#: The likelihood of a reading against the source's declared order.
+AGAINST = 1e-4
+#: The reading of a value that fits its source's declared order in no way.
+MISTYPED = "mistyped"
 #: Years that a bare count since 1970 may lie in, which decides its unit.
 COUNT_YEARS = (1990, 2037)
 #: The years that two-digit years belong to.
@@ -138,13 +145,14 @@ def readings(text: str | None, order: str | None, site: str | None) -> tuple[str
     s = " ".join((text or "").lower().split())
     if not s:
         return "unreadable", []
-    if s.isascii() and s.isdigit() and len(s) >= 8:
+    if s.isascii() and s.isdigit() and len(s) <= 22:
         n, out = int(s), []
         for name, times, parts in _UNITS:
             us = n * times // parts
             if us < 4e15 and COUNT_YEARS[0] <= (_EPOCH + us * _MICRO).year <= COUNT_YEARS[1]:
                 out.append((name, us))
-        return ("read" if out else "unreadable"), out
+        # a count that is early or late in every unit has no clear one
+        return ("read" if out else "no_unit"), out
     if m := _COMPACT.match(s):
         hour, minute, second, fraction, half = m[4], m[5], m[6], m[7], None
         date, rest = f"{m[1]}-{m[2]}-{m[3]}", s[m.end() :]
@@ -195,21 +203,23 @@ def readings(text: str | None, order: str | None, site: str | None) -> tuple[str
 
 
 def mixture(counts: pd.DataFrame) -> pd.DataFrame:
-    """Expectation-maximisation for one source: columns source, formats (joined by a space), n -> source, formats, choice, posterior."""
+    """Expectation-maximisation for one source: columns source, date_order, formats (joined by a space), n -> source, formats, choice, posterior."""
     sets = [f.split(" ") for f in counts["formats"]]
     n = counts["n"].astype(float).tolist()
+    declared = counts["date_order"].iloc[0]
     names = sorted({f for s in sets for f in s})
+    fits = {f: AGAINST if declared in ("mdy", "dmy") and f in ("mdy", "dmy") and f != declared else 1.0 for f in names}
     weight = dict.fromkeys(names, 1.0 / len(names))
     for _ in range(EM_ROUNDS):
         mass = dict.fromkeys(names, 1e-9)
         for formats, k in zip(sets, n):
-            total = sum(weight[f] for f in formats)
+            total = sum(weight[f] * fits[f] for f in formats)
             for f in formats:
-                mass[f] += k * weight[f] / total
+                mass[f] += k * weight[f] * fits[f] / total
         whole = sum(mass.values())
         weight = {f: m / whole for f, m in mass.items()}
-    best = [max(formats, key=lambda f: (weight[f], f)) for formats in sets]
-    posterior = [weight[b] / sum(weight[f] for f in formats) for b, formats in zip(best, sets)]
+    best = [max(formats, key=lambda f: (weight[f] * fits[f], f)) for formats in sets]
+    posterior = [weight[b] * fits[b] / sum(weight[f] * fits[f] for f in formats) for b, formats in zip(best, sets)]
     return pd.DataFrame({"source": counts["source"].astype(object), "formats": counts["formats"].astype(object), "choice": pd.Series(best, dtype=object), "posterior": posterior})
 
 
@@ -226,25 +236,29 @@ def normalise(rows: DataFrame, sources: DataFrame) -> DataFrame:
             ids, texts, from_, zones, orders = (batch.column(i) for i in range(5))
             status, formats, values = [], [], []
             for text, zone, order in zip(texts.to_pylist(), zones.to_pylist(), orders.to_pylist()):
-                what, found = readings(text, order, zone)
-                by_value: dict[int, str] = {}
-                for name, us in found:
-                    by_value.setdefault(us, name)  # readings that agree on the instant are one
+                what, found = readings(text, None, zone)
+                by_value: dict[int | None, str] = {}
+                # readings that agree on the instant are one, under the declared order if that is among them
+                for name, us in sorted(found, key=lambda x: x[0] != order):
+                    by_value.setdefault(us, name)
+                if order in ("mdy", "dmy") and found and all(name in ("mdy", "dmy") and name != order for name in by_value.values()):
+                    by_value[None] = MISTYPED
                 status.append(what)
                 formats.append(" ".join(by_value.values()))
                 values.append(list(by_value))
-            yield pa.RecordBatch.from_arrays([ids, from_, pa.array(status), pa.array(formats), pa.array(values, pa.list_(pa.int64()))], ["id", "source", "status", "formats", "instants"])
+            yield pa.RecordBatch.from_arrays([ids, from_, pa.array(status), pa.array(formats), pa.array(values, pa.list_(pa.int64())), orders], ["id", "source", "status", "formats", "instants", "date_order"])
 
-    read = first.join(known, "source", "left").select("id", "date_text", "source", "zone", "date_order").mapInArrow(run, "id string, source string, status string, formats string, instants array<bigint>")
+    read = first.join(known, "source", "left").select("id", "date_text", "source", "zone", "date_order").mapInArrow(run, "id string, source string, status string, formats string, instants array<bigint>, date_order string").persist()
     # The mixture is fitted on counts per source and candidate set, so a hot source is a few rows here.
-    counts = read.where("status = 'read'").groupBy("source", "formats").agg(F.count(F.lit(1)).alias("n"))
+    counts = read.where("status = 'read'").groupBy("source", "formats").agg(F.first("date_order").alias("date_order"), F.count(F.lit(1)).alias("n"))
     fitted = counts.groupBy("source").applyInPandas(mixture, "source string, formats string, choice string, posterior double")
     many = fitted.where(F.col("formats").contains(" ")).alias("m")
     joined = read.alias("r").join(many, F.col("r.source").eqNullSafe(F.col("m.source")) & (F.col("r.formats") == F.col("m.formats")), "left")
     single = F.size("r.instants") == 1
     clear = single | (F.col("posterior") >= MIN_POSTERIOR)
     at = F.array_position(F.split("r.formats", " "), F.coalesce("choice", F.col("r.formats"))).cast("int")
-    ok = (F.col("status") == "read") & clear
+    chosen = F.coalesce("choice", F.col("r.formats"))
+    ok = (F.col("status") == "read") & clear & (chosen != MISTYPED)
     return joined.select(
         "id",
         F.when(ok, "resolved").when(F.col("status") == "read", "ambiguous").otherwise(F.col("status")).alias("status"),

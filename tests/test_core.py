@@ -123,3 +123,12 @@ def test_streams(spark, tmp_path):
     q = feeds.first_seen(stream).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["id"] for r in spark.table("seen").collect()} == {"a", "b"}
+
+
+def test_the_declared_order_is_a_likelihood(spark):
+    rows = [(f"a{i}", "02/03/1999 10:00Z", "us", i) for i in range(5)] + [("b", "25/12/1999 10:00Z", "us", 9), ("c", "02/03/1999 10:00Z", "eu", 10), ("d", "3/3/99 10:00Z", "eu", 11), ("e", "123", "eu", 12)]
+    sources = spark.createDataFrame([("us", "UTC", "mdy"), ("eu", "UTC", "dmy")], "source string, zone string, date_order string")
+    out = {r["id"]: r for r in timestamps.normalise(spark.createDataFrame(rows, "id string, date_text string, source string, arrival bigint"), sources).collect()}
+    assert {out[f"a{i}"]["utc_us"] for i in range(5)} == {micros(1999, 2, 3, 10, 0)} and out["a0"]["posterior"] < 1
+    assert out["b"]["status"] == "mistyped" and out["b"]["utc_us"] is None and out["e"]["status"] == "no_unit"
+    assert out["c"]["utc_us"] == micros(1999, 3, 2, 10, 0) and out["d"]["utc_us"] == micros(1999, 3, 3, 10, 0)
