@@ -261,7 +261,7 @@ def normalise(rows: DataFrame, sources: DataFrame) -> DataFrame:
     ok = (F.col("status") == "read") & clear & (chosen != MISTYPED)
     return joined.select(
         "id",
-        F.when(ok, "resolved").when(F.col("status") == "read", "ambiguous").otherwise(F.col("status")).alias("status"),
+        F.when(ok, "resolved").when((F.col("status") == "read") & clear, MISTYPED).when(F.col("status") == "read", "ambiguous").otherwise(F.col("status")).alias("status"),
         F.when(ok, F.coalesce("choice", F.col("r.formats"))).alias("format"),
         F.when(ok, F.get("r.instants", at - 1)).alias("utc_us"),
         F.when(single, F.lit(1.0)).otherwise(F.col("posterior")).alias("posterior"),
