@@ -14,11 +14,13 @@ MANGLED = (
     ("\x01)", "—"), ("\x01*", "—"), ("\x01(", "—"), ("\x01\x07", "•"), ("\x01 ", "• "), ("\x01v", "™"), ("\x01;", " "),
 )
 STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
-SPACE = r"[ \t\r\n\f]"
+#: The characters that count as white space, in any script.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends (not only spaces)."""
+    """Without white space, of any kind, at both ends."""
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
@@ -44,7 +46,7 @@ def clean_text(c: Column) -> Column:
 
 def split_quoted(c: Column) -> Column:
     """struct(new_text, quoted_text): cut at the first line that begins quoted text; both halves stripped."""
-    lines = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), "\n")
+    lines = F.split(F.coalesce(c, F.lit("")), LINE_END)
     first = F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(QUOTE_LINE)), True), F.lit(0))
     cut = F.when(first > 0, first.cast("int") - 1).otherwise(F.size(lines))
     new = F.array_join(F.slice(lines, F.lit(1), cut), "\n")
@@ -88,7 +90,17 @@ def tokens(c: Column) -> Column:
 def english_tokens(c: Column) -> Column:
     """Words without stop words, with plural endings cut."""
     kept = F.filter(tokens(c), lambda t: ~t.isin(*STOPWORDS))
-    return F.transform(kept, lambda t: F.regexp_replace(F.regexp_replace(t, "ies$", "y"), "([^s])s$", "$1"))
+    return F.transform(kept, stem)
+
+
+def stem(t: Column) -> Column:
+    """A word without its plural ending."""
+    return F.regexp_replace(F.regexp_replace(t, "ies$", "y"), "([^s])s$", "$1")
+
+
+def collapse_space(c: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def csv_cell(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailquarry.functions import text as T
+
 
 def authoritative(qrels: DataFrame) -> DataFrame:
     """(query_id, doc_id, grade, source): the judgment with the most authority per pair: human, then model, then rule; then by source and grade."""
@@ -48,10 +50,38 @@ def report(per_query: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def auto_grade(text: Column, terms: Column) -> Column:
-    """3 if all terms occur as substrings, 2 if some do, else 0."""
-    hits = F.size(F.filter(terms, lambda t: F.contains(text, t)))
-    return F.when((F.size(terms) == 0) | (hits == 0), 0).when(hits == F.size(terms), 3).otherwise(2)
+def rules(asked: DataFrame) -> DataFrame:
+    """(query_id, kind, phrase, terms, senders, receivers, after, before): the objective grading rule of a parsed query.
+
+    Operators with free words make ``both``, operators alone ``filter``, a quoted phrase ``phrase``, free words ``terms``.
+    """
+    words = F.array_distinct(T.tokens(F.col("text")))
+    kind = F.when(F.col("filtered") & (F.size(words) > 0), "both").when(F.col("filtered"), "filter").when(F.size("phrases") > 0, "phrase").when(F.size(words) > 0, "terms")
+    return asked.select("query_id", kind.alias("kind"), F.lower(F.get("phrases", F.lit(0))).alias("phrase"), words.alias("terms"), "senders", "receivers", "after", "before")
+
+
+def auto_grade(text: Column, fits: Column) -> Column:
+    """The grade of a lower-case ``text`` under the rule in the same row; ``fits`` is whether the filters let the document through.
+
+    phrase 3 or 0; filter 3 or 0; terms 3 if all occur as substrings, 2 if some do, else 0; both 0 if the filters fail,
+    else 3 if any term occurs and 1 if none does; anything else 0.
+    """
+    hits = F.size(F.filter("terms", lambda t: F.contains(text, t)))
+    some = F.when(hits == 0, 0).when(hits == F.size("terms"), 3).otherwise(2)
+    both = F.when(~F.coalesce(fits, F.lit(False)), 0).when(hits > 0, 3).otherwise(1)
+    kind = F.col("kind")
+    return F.when(kind == "phrase", F.when(F.contains(text, F.col("phrase")), 3).otherwise(0)).when(kind == "filter", F.when(fits, 3).otherwise(0)).when(kind == "terms", some).when(kind == "both", both).otherwise(0)
+
+
+def grade_pool(pool: DataFrame, docs: DataFrame, rule: DataFrame) -> DataFrame:
+    """(query_id, id, source, grade): every pooled document (query_id, id) of a query with a rule, graded by it; a date without a value fails."""
+    pooled = pool.join(F.broadcast(rule.where("kind is not null")), "query_id").join(docs, "id")
+    day = F.to_date("at")
+    listed = lambda values, own: (F.size(values) == 0) | F.coalesce(F.arrays_overlap(F.col(values), own), F.lit(False))
+    dated = (F.col("after").isNull() | (day >= F.col("after"))) & (F.col("before").isNull() | (day <= F.col("before")))
+    fits = listed("senders", F.array(F.lower("from_addr"))) & listed("receivers", F.transform(F.coalesce("to_addrs", F.array()), lambda x: F.lower(x))) & F.coalesce(dated, F.lit(False))
+    text = F.lower(F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))))
+    return pooled.select("query_id", "id", F.concat(F.lit("auto:"), F.col("kind")).alias("source"), auto_grade(text, fits).cast("int").alias("grade"))
 
 
 def latency(samples: DataFrame, by: list[str]) -> DataFrame:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from mailquarry.functions.text import FORWARD_CHAIN, QUOTE_LINE, REPLY_MARKS, SPACE
+# The patterns are written out here on their own, not taken from the operators they check.
+WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACE = WS
+BREAK = r"\r\n|[\n\x{0B}\x{0C}\r\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
+REPLY_MARKS = r"(?i)^\s*((re|fw|fwd|aw|sv)\s*:\s*)+"
+FORWARD_CHAIN = r"(?i)^\s*((re|aw|sv)\s*:\s*)*fwd?\s*:"
+STOPS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 
 
 def _quoted(s: str) -> str:
@@ -21,31 +27,78 @@ def tokens(c: str) -> str:
     return f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def topic(c: str) -> str:
-    return strip(f"regexp_replace(regexp_replace(coalesce({c}, ''), {_quoted(REPLY_MARKS)}, ''), '[ \\t]+', ' ', 'g')")
-
+def english(c: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in STOPS)
+    return f"list_transform(list_filter({tokens(c)}, lambda t: NOT list_contains([{stops}], t)), lambda t: regexp_replace(regexp_replace(t, 'ies$', 'y'), '([^s])s$', '\\1'))"
 
-TERMS = "qt AS (SELECT DISTINCT query_id, unnest(" + tokens("regexp_replace(query, '\\b(from|to|cc|subject|after|before):\\S+', ' ', 'g')") + ") AS term FROM judged_queries)"
 
-
-def bm25(name: str, fields: list[str], top: int) -> str:
-    """CTEs that end in ``name`` (query_id, id, score, rank)."""
-    w = f"{name}_w AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, id, {tokens(f)} AS w FROM m" for f in fields) + ")"
-    return f"""{w},
-{name}_st AS (SELECT field, avg(len(w)) AS avg_len, count(*) AS n_docs FROM {name}_w GROUP BY field),
-{name}_p AS (SELECT field, id, term, count(*) AS tf, any_value(n) AS len FROM (SELECT field, id, unnest(w) AS term, len(w) AS n FROM {name}_w) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-{name}_df AS (SELECT field, term, count(*) AS df FROM {name}_p GROUP BY ALL),
-{name}_s AS (SELECT query_id, field, id, count(*) AS hits, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS s
-  FROM {name}_p JOIN {name}_df USING (field, term) JOIN {name}_st USING (field) JOIN qt USING (term) GROUP BY ALL),
-{name}_n AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY ALL),
-{name}_b AS (SELECT query_id, id, round(max(s), 6) AS score FROM {name}_s JOIN {name}_n USING (query_id) WHERE hits >= CASE WHEN n_terms <= 2 THEN n_terms ELSE floor(n_terms / 2) END GROUP BY ALL),
-{name} AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_b QUALIFY rank <= {top})"""
+def topic(c: str) -> str:
+    return strip(f"regexp_replace(regexp_replace(coalesce({c}, ''), {_quoted(REPLY_MARKS)}, ''), '[ \\t]+', ' ', 'g')")
 
 
-LEGS = f"WITH {M}, {TERMS}, " + bm25("l1", ["subject"], 120) + ", " + bm25("l2", ["body"], 120)
-FUSED = LEGS + """, fu AS (SELECT query_id, id, round(sum(s), 9) AS score FROM (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS s FROM l1 UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM l2) GROUP BY ALL),
-fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fu QUALIFY rank <= 120)"""
-RUNS = FUSED + """, runs AS (SELECT 'subject' AS method, query_id, rank, id FROM l1 UNION ALL SELECT 'body', query_id, rank, id FROM l2 UNION ALL SELECT 'fused', query_id, rank, id FROM fused)"""
+#: DuckDB measures edits in bytes, so letters beyond ASCII are first given one byte each.
+_ODD = "áàâäãåæçéèêëíìîïñóòôöõøœúùûüýÿßłńśźżćęą"
+
+
+def edits(a: str, b: str) -> str:
+    signs = "".join(f"chr({i})" if k == 0 else f" || chr({i})" for k, i in enumerate([*range(1, 32), *range(58, 58 + len(_ODD) - 31)]))
+    one = lambda c: f"translate({c}, '{_ODD}', {signs})"
+    return f"damerau_levenshtein({one(a)}, {one(b)})"
+
+
+ASK = """qa AS (SELECT query_id, trim(regexp_replace(regexp_replace(query, '"[^"]*"', ' ', 'g'), '(from|to|cc|subject|after|before):\\S+', ' ', 'g')) AS text,
+  list_transform(regexp_extract_all(query, '"([^"]+)"', 1), lambda x: trim(x)) AS phrases, nullif(lower(regexp_extract(query, 'from:(\\S+)', 1)), '') AS sender, nullif(regexp_extract(query, 'after:(\\d{4}-\\d{2}-\\d{2})', 1), '') AS after FROM judged_queries WHERE query_id IS NOT NULL),
+let AS (SELECT query_id, id FROM qa JOIN m ON (sender IS NULL OR lower(from_addr) = sender) AND (after IS NULL OR ts >= (after || ' 00:00:00+00')::TIMESTAMPTZ) WHERE sender IS NOT NULL OR after IS NOT NULL)"""
+_MAIL = {"subject": ("subject", True), "body": ("body", True), "from": ("from_addr", False), "to": ("array_to_string(coalesce(to_addrs, []), ' ')", False)}
+
+
+def bm25(name: str, boosts: dict[str, float], filtered: bool) -> str:
+    """CTEs that end in ``name`` (query_id, id, score): the match set of terms and phrases."""
+    n = name
+    words = " UNION ALL ".join(f"SELECT id, '{f}' AS field, {(english if _MAIL[f][1] else tokens)(_MAIL[f][0])} AS w, {b}::DOUBLE AS boost FROM m" for f, b in boosts.items())
+    terms = " UNION ".join(f"SELECT query_id, '{f}' AS field, unnest({(english if _MAIL[f][1] else tokens)('text')}) AS term FROM qa" for f in boosts)
+    only = "WHERE (NOT EXISTS (FROM qa WHERE qa.query_id = x.query_id AND (sender IS NOT NULL OR after IS NOT NULL)) OR (x.query_id, x.id) IN (SELECT (query_id, id) FROM let))" if filtered else ""
+    return f"""{n}_w AS ({words}),
+{n}_t AS (SELECT *, count(*) OVER (PARTITION BY query_id, field) AS k FROM ({terms})),
+{n}_st AS (SELECT field, count(*) AS n_docs, sum(len(w))::DOUBLE / count(*) AS avg_len FROM {n}_w GROUP BY ALL),
+{n}_p AS (SELECT field, id, word, count(*) AS tf, any_value(n) AS len, any_value(boost) AS boost FROM (SELECT field, id, boost, unnest(w) AS word, len(w) AS n FROM {n}_w) GROUP BY ALL),
+{n}_v AS (SELECT field, word, count(*) AS df FROM {n}_p GROUP BY ALL),
+{n}_k AS (SELECT DISTINCT field, term, CASE WHEN length(term) < 5 THEN 0 WHEN length(term) < 8 THEN 1 ELSE 2 END AS edits FROM {n}_t),
+{n}_e AS (SELECT field, term, word, df, {edits("term", "word")} AS d FROM {n}_k JOIN {n}_v USING (field) WHERE word[1] = term[1] AND abs(length(word) - length(term)) <= edits AND d <= edits
+  QUALIFY row_number() OVER (PARTITION BY field, term ORDER BY d, df DESC, word) <= 50),
+{n}_x AS (SELECT query_id, field, term, id, boost, k, max((1 - d::DOUBLE / least(length(term), length(word))) * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS s
+  FROM {n}_t JOIN {n}_e USING (field, term) JOIN {n}_p USING (field, word) JOIN {n}_st USING (field) GROUP BY ALL),
+{n}_f AS (SELECT query_id, id, sum(s) * any_value(boost) AS s FROM {n}_x x {only} GROUP BY query_id, id, field HAVING count(*) >= CASE WHEN any_value(k) <= 2 THEN any_value(k) ELSE any_value(k) // 2 END),
+{n}_q AS (SELECT DISTINCT query_id, array_to_string({tokens('p')}, ' ') AS p FROM (SELECT query_id, unnest(phrases) AS p FROM qa) WHERE len({tokens('p')}) > 0),
+{n}_d AS (SELECT id, ' ' || array_to_string({tokens('subject')}, ' ') || ' ' AS s, ' ' || array_to_string({tokens('body')}, ' ') || ' ' AS b FROM m),
+{n}_h AS (SELECT query_id, id, count(*) AS got, sum(CASE WHEN contains(s, ' ' || p || ' ') THEN 3.0 ELSE 0 END + CASE WHEN contains(b, ' ' || p || ' ') THEN 1.0 ELSE 0 END)::DOUBLE AS s FROM {n}_q JOIN {n}_d ON contains(s, ' ' || p || ' ') OR contains(b, ' ' || p || ' ') GROUP BY ALL),
+{n}_g AS (SELECT x.query_id, x.id, x.s FROM {n}_h x JOIN (SELECT query_id, count(*) AS need FROM {n}_q GROUP BY ALL) USING (query_id) {only + ' AND' if only else 'WHERE'} got = need),
+{n} AS (SELECT query_id, id, round(sum(s), 6) AS score FROM (SELECT query_id, id, max(s) AS s FROM {n}_f GROUP BY ALL UNION ALL SELECT query_id, id, s FROM {n}_g) JOIN qa USING (query_id) GROUP BY query_id, id
+  HAVING count(*) = any_value(CASE WHEN len({tokens('text')}) > 0 THEN 1 ELSE 0 END + CASE WHEN len(phrases) > 0 THEN 1 ELSE 0 END))"""
+
+
+EVEN = {"subject": 1.0, "body": 1.0, "from": 1.0, "to": 1.0}
+_WINDOWED = f"""SELECT id, w[k * 160 + 1 : k * 160 + 200] AS w, k FROM (SELECT id, w, unnest(range(0, least(8, greatest(1, ceil((len(w) - 200) / 160.0)::INT + 1)))) AS k FROM (SELECT id, list_filter(regexp_split_to_array(concat_ws(chr(10) || chr(10), nullif(subject, ''), nullif(body, '')), '{SPACE}+'), lambda x: x <> '') AS w FROM m) WHERE len(w) > 0)"""
+
+
+def embedded(name: str, rows: str, key: str) -> str:
+    """CTE ``name`` (key, dim, x): texts as hashed vectors of length one."""
+    h = "('0x' || substr(md5(t), 1, 6))::INT"
+    return f"""{name}_e AS (SELECT {key}, {h} % 64 AS dim, sum(CASE WHEN ({h} // 64) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x FROM (SELECT {key}, unnest({english('text')}) AS t FROM ({rows})) GROUP BY ALL),
+{name} AS (SELECT {key}, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY {key})), 6) AS x FROM {name}_e WHERE x <> 0)"""
+
+
+VECTOR = f"""pas AS (SELECT id, k, array_to_string(w, ' ') AS text FROM ({_WINDOWED})),
+{embedded('pv', 'SELECT id, k, text FROM pas', 'id, k')}, {embedded('qv', "SELECT query_id, concat_ws(' ', text, array_to_string(phrases, ' ')) AS text FROM qa", 'query_id')},
+pn AS (SELECT id, k, sqrt(sum(x * x)) AS l FROM pv GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(x * x)) AS l FROM qv GROUP BY ALL),
+vs AS (SELECT query_id, id, k, sum(qv.x * pv.x) AS dot FROM qv JOIN pv USING (dim) GROUP BY ALL),
+vm AS (SELECT query_id, id, max(round(dot / (pn.l * qn.l), 6)) AS score FROM vs JOIN pn USING (id, k) JOIN qn USING (query_id) GROUP BY ALL),
+vl AS (SELECT x.query_id, x.id, score, row_number() OVER (PARTITION BY x.query_id ORDER BY score DESC, x.id) AS rank FROM vm x JOIN qa USING (query_id)
+  WHERE score > 0 AND ((sender IS NULL AND after IS NULL) OR (x.query_id, x.id) IN (SELECT (query_id, id) FROM let)) AND (len(phrases) = 0 OR (x.query_id, x.id) IN (SELECT (query_id, id) FROM l1_g)) QUALIFY rank <= 120)"""
+LEGS = f"WITH {DATED}, {ASK}, {bm25('l1', EVEN, True)}, {VECTOR}, l1r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM l1 QUALIFY rank <= 120)"
+FUSED = LEGS + """, fu AS (SELECT query_id, id, b.rank AS bm25_rank, v.rank AS vector_rank, round(coalesce(1.0::DOUBLE / (60 + b.rank), 0) + coalesce(1.0::DOUBLE / (60 + v.rank), 0), 9) AS score FROM l1r b FULL JOIN vl v USING (query_id, id)),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fu QUALIFY rank <= 120)"""
+RUNS = FUSED + """, runs AS (SELECT 'bm25' AS method, query_id, rank, id FROM l1r UNION ALL SELECT 'vector', query_id, rank, id FROM vl UNION ALL SELECT 'hybrid', query_id, rank, id FROM fused)"""
 AUTH = """auth AS (SELECT query_id, doc_id, grade, source FROM qrels WHERE query_id IS NOT NULL AND doc_id IS NOT NULL AND grade IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY CASE source WHEN 'human' THEN 2 WHEN 'llm' THEN 1 ELSE 0 END DESC, source, grade) = 1)"""
 METRICS = RUNS + f""", {AUTH},
@@ -55,8 +108,11 @@ fo AS (SELECT method, query_id, sum(CASE WHEN rank <= 10 THEN (pow(2, grade) - 1
 met AS (SELECT method, query_id, round(coalesce(dcg / nullif(idcg, 0), 0), 6) AS ndcg, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(found::DOUBLE / nullif(relevant, 0), 0), 6) AS recall
   FROM ideal CROSS JOIN (SELECT DISTINCT method FROM runs) LEFT JOIN fo USING (method, query_id))"""
 _CELL = lambda c: f"CASE WHEN regexp_matches(coalesce({c}, ''), '^[=+\\-@\\t\\r]') THEN '''' || coalesce({c}, '') ELSE coalesce({c}, '') END"
-FUZZY = f"""WITH {M}, {TERMS}, v AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT id, unnest({tokens("subject")}) AS word FROM m) GROUP BY ALL),
-near AS (SELECT query_id, term, word, df FROM qt JOIN v ON length(term) >= 5 AND length(word) >= 4 AND word[1] = term[1] AND abs(length(word) - length(term)) <= 1 AND damerau_levenshtein(word, term) <= 1)"""
+FUZZY = f"""WITH {DATED}, {ASK}, v AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT id, unnest({tokens("subject")}) AS word FROM m) GROUP BY ALL),
+qt AS (SELECT DISTINCT query_id, unnest({tokens("text")}) AS term FROM qa),
+near AS (SELECT term, word, df, {edits("word", "term")} AS d FROM (SELECT DISTINCT term, CASE WHEN length(term) < 5 THEN 0 WHEN length(term) < 8 THEN 1 ELSE 2 END AS k FROM qt) JOIN v ON word[1] = term[1] AND abs(length(word) - length(term)) <= k WHERE d <= k
+  QUALIFY row_number() OVER (PARTITION BY term ORDER BY d, df DESC, word) <= 50),
+fix AS (SELECT query_id, term, arg_max(word, (df, word)) AS suggestion FROM qt JOIN near USING (term) WHERE d = 1 AND length(term) >= 5 AND term NOT IN (SELECT word FROM v) GROUP BY ALL)"""
 _CLEAN_TAGS = lambda c: f"list_sort(list_distinct(list_filter(list_transform(coalesce({c}, []), lambda t: lower({strip('t')})), lambda t: regexp_matches(t, '^[a-z0-9][a-z0-9-]{{0,31}}$'))))"
 TAGS = f"""WITH RECURSIVE e0 AS (SELECT DISTINCT ON (email_id, seq) email_id, seq, op, {_CLEAN_TAGS("add_tags")} AS a, {_CLEAN_TAGS("remove_tags")} AS r, tagged_by FROM tag_events WHERE email_id IS NOT NULL AND seq IS NOT NULL),
 e AS (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY seq) AS n FROM e0),
@@ -88,8 +144,8 @@ SQL: dict[str, str] = {
 x AS (SELECT id, mailbox, min(arrival) AS a FROM emails WHERE mailbox <> '' GROUP BY ALL), y AS (SELECT id, folder, min(arrival) AS a FROM emails WHERE folder <> '' GROUP BY ALL)
 SELECT d.id, f.s AS subject, f.f AS from_addr, coalesce((SELECT string_agg(mailbox, ',' ORDER BY a) FROM x WHERE x.id = d.id), '') AS mailboxes, coalesce((SELECT string_agg(folder, ',' ORDER BY a) FROM y WHERE y.id = d.id), '') AS folders, deliveries FROM d""",
     "subject_normalise": f"WITH {M} SELECT id, {topic('subject')} AS topic, regexp_matches(coalesce(subject, ''), {_quoted(REPLY_MARKS)}) AS answers, regexp_matches(coalesce(subject, ''), {_quoted(FORWARD_CHAIN)}) AS forward FROM m",
-    "split_quoted": f"""WITH {M}, l AS (SELECT id, string_split(regexp_replace(coalesce(body, ''), '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM m),
-c AS (SELECT id, l, coalesce(list_position(list_transform(l, lambda x: regexp_full_match(x, {_quoted(QUOTE_LINE)})), true), len(l) + 1) AS cut FROM l)
+    "split_quoted": f"""WITH {M}, l AS (SELECT id, regexp_split_to_array(coalesce(body, ''), {_quoted(BREAK)}) AS l FROM m),
+c AS (SELECT id, l, coalesce(list_position(list_transform(l, lambda x: regexp_matches(x, '(?i)^\\s*--+\\s*original message\\s*--') OR regexp_matches(x, '(?i)^\\s*--+\\s*forwarded by\\b') OR regexp_matches(x, '^\\s*_{{10,}}\\s*$') OR regexp_matches(x, '(?i)^\\s*on\\b.{{0,160}}\\bwrote:\\s*$') OR ltrim(x, ' ' || chr(9))[1] = '>'), true), len(l) + 1) AS cut FROM l)
 SELECT id, {strip("array_to_string(l[1:cut - 1], chr(10))")} AS new_text, {strip("array_to_string(l[cut:], chr(10))")} AS quoted_text FROM c""",
     "display_names": f"""WITH {M}, n AS (SELECT id, from_addr, to_addrs, {strip("regexp_replace(regexp_replace(" + strip("regexp_replace(regexp_replace(coalesce(from_name, ''), '<[^>]*>', ' ', 'g'), '" + SPACE + "+', ' ', 'g')") + ", '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g')")} AS name FROM m),
 p AS (SELECT *, {strip("split_part(name, ',', 1)")} AS l, {strip("split_part(name, ',', 2)")} AS f FROM n)
@@ -114,19 +170,15 @@ b AS (SELECT id, coalesce(CASE WHEN id LIKE '%0' THEN subject || '!' ELSE subjec
 SELECT id, CASE WHEN y IS NULL THEN 'new' WHEN x = y THEN 'reuse' ELSE 'again' END AS action FROM a LEFT JOIN b USING (id)""",
     "sample_whole_groups": f"WITH {M}, s AS (SELECT mailbox, count(*) AS n FROM m WHERE mailbox IS NOT NULL GROUP BY ALL) SELECT mailbox, n, coalesce(sum(n) OVER (ORDER BY sha1(mailbox), mailbox ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s QUALIFY before < 500",
     "step_sample": f"WITH {M}, n AS (SELECT id, row_number() OVER (ORDER BY arrival, id) - 1 AS row_no, greatest(1, count(*) OVER () // 100) AS k FROM m) SELECT id, row_no FROM n WHERE row_no % k = 0",
-    "bm25_topk": f"WITH {M}, {TERMS}, {bm25('o', ['subject', 'body'], 10)} SELECT query_id, id, score, rank::INT AS rank FROM o",
-    "phrase_matches": f"""WITH {M}, p AS (SELECT query_id, unnest(regexp_extract_all(query, '"([^"]+)"', 1)) AS p FROM judged_queries), w AS (SELECT DISTINCT query_id, array_to_string({tokens('p')}, ' ') AS p FROM p WHERE len({tokens('p')}) > 0),
-t AS (SELECT id, ' ' || array_to_string({tokens('subject')}, ' ') || ' ' AS s, ' ' || array_to_string({tokens('body')}, ' ') || ' ' AS b FROM m),
-h AS (SELECT query_id, id, count(*) AS got FROM w JOIN t ON contains(s, ' ' || p || ' ') OR contains(b, ' ' || p || ' ') GROUP BY ALL)
-SELECT query_id, id FROM h JOIN (SELECT query_id, count(*) AS need FROM w GROUP BY ALL) USING (query_id) WHERE got = need""",
-    "rrf_fusion": FUSED + " SELECT query_id, id, score, rank::INT AS rank FROM fused",
+    "bm25_topk": f"WITH {DATED}, {ASK}, {bm25('o', EVEN, False)} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM o QUALIFY rank <= 10",
+    "phrase_matches": f"WITH {DATED}, {ASK}, {bm25('o', {'subject': 1.0}, False)} SELECT query_id, id FROM o_g",
+    "rrf_fusion": FUSED + " SELECT query_id, id, score, rank::INT AS rank, bm25_rank::INT AS bm25_rank, vector_rank::INT AS vector_rank FROM fused",
     "hybrid_page": FUSED + " SELECT query_id, id, rank::INT AS rank, max(rank) OVER (PARTITION BY query_id) > 20 AS more FROM fused QUALIFY rank > 10 AND rank <= 20",
-    "fuzzy_terms": FUZZY + " SELECT query_id, term, word, df FROM near",
-    "spelling_fix": FUZZY + " SELECT query_id, term, arg_max(word, (df, word)) AS suggestion FROM near WHERE (query_id, term) NOT IN (SELECT (query_id, term) FROM near WHERE term = word) GROUP BY ALL",
+    "fuzzy_terms": FUZZY + " SELECT term, word, df, d::INT AS d FROM near",
+    "spelling_fix": FUZZY + " SELECT query_id, term, suggestion FROM fix",
     "knn_topk": f"WITH {VECTORS}, s AS (SELECT q.id AS query_id, v.id, round(array_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.id % 50 = 0) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10",
     "knn_filtered_collapse": f"WITH {VECTORS}, s AS (SELECT q.id AS query_id, v.id, v.label, round(array_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.id % 50 = 0 AND v.label % 2 = 0), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 120) SELECT query_id, label, id, score FROM k QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) = 1",
-    "filtered_search": f"""WITH {DATED}, {TERMS}, {bm25('o', ['subject'], 1_000_000_000)}, q AS (SELECT query_id, nullif(regexp_extract(query, 'after:(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS after, nullif(lower(regexp_extract(query, 'from:(\\S+)', 1)), '') AS sender FROM judged_queries)
-SELECT query_id, o.id FROM o JOIN q USING (query_id) JOIN m ON m.id = o.id WHERE (after IS NOT NULL OR sender IS NOT NULL) AND (after IS NULL OR ts >= (after || ' 00:00:00+00')::TIMESTAMPTZ) AND (sender IS NULL OR lower(from_addr) = sender)""",
+    "filtered_search": f"WITH {DATED}, {ASK}, {bm25('o', EVEN, True)} SELECT query_id, id FROM o JOIN qa USING (query_id) WHERE sender IS NOT NULL OR after IS NOT NULL",
     "facet_terms": f"WITH {M} " + " UNION ALL ".join([facet("senders", "[lower(from_addr)]"), facet("recipients", "list_transform(list_concat(coalesce(to_addrs, []), coalesce(cc_addrs, [])), lambda x: lower(x))"), facet("folders", "[folder]"), facet("mailboxes", "[mailbox]"), facet("has_attachment", "[has_attachment::VARCHAR]", 2)]),
     "facet_month_histogram": f"WITH {DATED} SELECT strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n FROM m WHERE ts IS NOT NULL GROUP BY ALL",
     "histogram_gapfill": f"""WITH {DATED}, h AS (SELECT date_trunc('month', ts AT TIME ZONE 'UTC')::DATE AS d, count(*) AS n FROM m WHERE ts IS NOT NULL AND folder = 'calendar' GROUP BY ALL),
@@ -143,9 +195,12 @@ r AS (SELECT unnest(generate_series((SELECT min(d) FROM h)::TIMESTAMP, (SELECT m
     "eval_grouping_sets": METRICS + " SELECT method, coalesce(split, '*') AS split, coalesce(category, '*') AS category, count(*) AS queries, round(avg(ndcg), 5) AS ndcg, round(avg(mrr), 5) AS mrr, round(avg(recall), 5) AS recall FROM met JOIN judged_queries USING (query_id) GROUP BY GROUPING SETS ((method), (method, split), (method, category))",
     "pool_union": RUNS + " SELECT DISTINCT query_id, id FROM runs WHERE rank <= 20",
     "label_todo": RUNS + " SELECT DISTINCT query_id, id FROM runs WHERE rank <= 20 AND (query_id, id) NOT IN (SELECT (query_id, doc_id) FROM qrels WHERE source = 'human' AND grade IS NOT NULL AND doc_id IS NOT NULL)",
-    "auto_grade": RUNS + """, g AS (SELECT query_id, list(DISTINCT term) AS terms FROM qt GROUP BY ALL), po AS (SELECT DISTINCT query_id, id FROM runs WHERE rank <= 20),
-h AS (SELECT query_id, po.id, len(terms) AS k, len(list_filter(terms, lambda t: contains(lower(coalesce(subject, '') || chr(10) || coalesce(body, '')), t))) AS hits FROM po JOIN g USING (query_id) JOIN m ON m.id = po.id)
-SELECT query_id, id, (CASE WHEN hits = 0 THEN 0 WHEN hits = k THEN 3 ELSE 2 END)::INT AS grade FROM h""",
+    "auto_grade": RUNS + f""", po AS (SELECT DISTINCT query_id, id FROM runs WHERE rank <= 20),
+h AS (SELECT query_id, po.id, phrases, sender IS NOT NULL OR after IS NOT NULL AS filtered, {tokens("text")} AS terms, (sender IS NULL OR lower(from_addr) = sender) AND (after IS NULL OR coalesce((ts AT TIME ZONE 'UTC')::DATE >= after::DATE, false)) AS fits, lower(coalesce(subject, '') || chr(10) || coalesce(body, '')) AS x FROM po JOIN qa USING (query_id) JOIN m ON m.id = po.id),
+g AS (SELECT *, len(list_filter(list_distinct(terms), lambda t: contains(x, t))) AS hits, len(list_distinct(terms)) AS k FROM h),
+r AS (SELECT query_id, id, CASE WHEN filtered AND k > 0 THEN 'both' WHEN filtered THEN 'filter' WHEN len(phrases) > 0 THEN 'phrase' ELSE 'terms' END AS kind, * EXCLUDE (query_id, id) FROM g)
+SELECT query_id, id, 'auto:' || kind AS source, (CASE kind WHEN 'phrase' THEN CASE WHEN contains(x, lower(phrases[1])) THEN 3 ELSE 0 END WHEN 'filter' THEN CASE WHEN fits THEN 3 ELSE 0 END
+  WHEN 'both' THEN CASE WHEN NOT coalesce(fits, false) THEN 0 WHEN hits > 0 THEN 3 ELSE 1 END ELSE CASE WHEN hits = 0 THEN 0 WHEN hits = k THEN 3 ELSE 2 END END)::INT AS grade FROM r""",
     "judgment_coverage": "SELECT category, source, count(*) AS n, count(DISTINCT query_id) AS queries, count(*) FILTER (grade IS NULL) AS ungraded FROM qrels JOIN judged_queries USING (query_id) GROUP BY ALL",
     "latency_percentiles": """SELECT query_id, count(*) FILTER (status = 200) AS n, round(avg(wall_ms) FILTER (status = 200), 1) AS mean, round(quantile_disc(wall_ms, 0.5) FILTER (status = 200), 1) AS p50, round(quantile_disc(wall_ms, 0.95) FILTER (status = 200), 1) AS p95,
 round(quantile_disc(wall_ms, 0.99) FILTER (status = 200), 1) AS p99, round(max(wall_ms) FILTER (status = 200), 1) AS most, round(avg(CASE WHEN status = 200 THEN 1.0 ELSE 0.0 END), 6) AS success FROM latency_samples GROUP BY ALL""",

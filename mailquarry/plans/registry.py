@@ -13,7 +13,7 @@ from mailquarry.operators import facets as A
 from mailquarry.operators import messages as M
 from mailquarry.operators import retrieval as R
 from mailquarry.operators import timestamps
-from mailquarry.plans import oracle
+from mailquarry.plans import oracle, search
 from mailquarry.runtime import first_deliveries, read_table
 
 FLAGSHIP = "hybrid_page"
@@ -163,45 +163,54 @@ def step_sample(spark, d):
 # -- retrieval -------------------------------------------------------------------------------------------------
 
 
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return search.asked(judged(spark, d))
+
+
+def searched(spark: SparkSession, d: str) -> DataFrame:
+    """The messages with every column that a search or a page of it reads."""
+    return dated(spark, d, "message_id", "subject", "body", "from_addr", "from_name", "to_addrs", "cc_addrs", "folder", "has_attachment", "duplicate_count", "thread_id")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    return M.chunk_windows(docs).select("id", F.col("chunk").alias("text"))
+
+
+def found(spark: SparkSession, d: str, method: str = "hybrid") -> search.Found:
+    docs = searched(spark, d)
+    return search.find(docs, asked(spark, d), method, passages(docs) if method != "bm25" else None)
+
+
 @query
 def bm25_topk(spark, d):
-    return R.bm25(mails(spark, d, "subject", "body"), judged(spark, d), ["subject", "body"], 10)
+    return R.bm25(mails(spark, d, "subject", "body", "from_addr", "to_addrs"), asked(spark, d), R.mail_fields(), 10)
 
 
 @query
 def phrase_matches(spark, d):
-    return R.phrase_match(mails(spark, d, "subject", "body"), judged(spark, d), ["subject", "body"])
-
-
-def _legs(spark, d):
-    m = mails(spark, d, "subject", "body")
-    return [R.bm25(m, judged(spark, d), [f], R.WINDOW) for f in ("subject", "body")]
+    return R.phrase_match(mails(spark, d, "subject", "body"), asked(spark, d), ["subject", "body"]).select("query_id", "id")
 
 
 @query
 def rrf_fusion(spark, d):
-    return R.fuse(_legs(spark, d), R.WINDOW)
+    return found(spark, d).fused
 
 
 @query
 def hybrid_page(spark, d):
-    return R.page(R.fuse(_legs(spark, d), R.WINDOW), 2, 10)
+    return R.page(found(spark, d).fused, 2, 10)
 
 
 @query
 def fuzzy_terms(spark, d):
-    return R.fuzzy_expansion(mails(spark, d, "subject"), judged(spark, d), "subject")
+    words = mails(spark, d, "subject").select(F.lit("subject").alias("field"), T.tokens(F.col("subject")).alias("w"))
+    terms = R.query_terms(asked(spark, d)).select(F.lit("subject").alias("field"), "term")
+    return R.fuzzy_expansion(R.vocabulary(words), terms).select("term", "word", "df", "d")
 
 
 @query
 def spelling_fix(spark, d):
-    return R.corrections(mails(spark, d, "subject"), judged(spark, d), "subject")
-
-
-@query
-def highlights(spark, d):
-    m = mails(spark, d, "subject", "body")
-    return R.highlight(m, R.bm25(m, judged(spark, d), ["body"], 5), R.query_terms(judged(spark, d)), "body")
+    return R.corrections(mails(spark, d, "subject"), asked(spark, d), "subject")
 
 
 def _vectors(spark, d):
@@ -225,13 +234,11 @@ def knn_filtered_collapse(spark, d):
 
 @query
 def filtered_search(spark, d):
-    """Each judged query's date and sender operators as filters on its matches, in the order of arrival."""
-    q = judged(spark, d).select("query_id", F.nullif(F.regexp_extract("query", r"after:(\d{4}-\d{2}-\d{2})", 1), F.lit("")).alias("after"), F.nullif(F.lower(F.regexp_extract("query", r"from:(\S+)", 1)), F.lit("")).alias("sender"))
-    q = q.where("after is not null or sender is not null")
-    hits = R.bm25(mails(spark, d, "subject"), judged(spark, d), ["subject"], 1_000_000_000)
-    joined = hits.join(F.broadcast(q), "query_id").join(dated(spark, d, "from_addr").select("id", "at", F.lower("from_addr").alias("who")), "id")
-    ok = (F.col("after").isNull() | (F.col("at") >= F.to_timestamp("after"))) & (F.col("sender").isNull() | (F.col("who") == F.col("sender")))
-    return joined.where(ok).select("query_id", "id")
+    """The whole match set of the queries with field operators; the operators are applied before anything is scored."""
+    docs, q = dated(spark, d, "subject", "body", "from_addr", "to_addrs", "cc_addrs"), asked(spark, d)
+    let = search.allowed(docs, q).persist()
+    matched = R.bm25_leg(docs, q, R.mail_fields(), allowed=let)
+    return matched.join(F.broadcast(q.where("filtered").select("query_id")), "query_id", "left_semi").select("query_id", "id")
 
 
 # -- facets, threads, tags, export -----------------------------------------------------------------------------
@@ -294,14 +301,14 @@ def export_rows(spark, d):
 
 
 def _runs(spark, d):
-    m, q = mails(spark, d, "subject", "body"), judged(spark, d)
-    legs = {"subject": R.bm25(m, q, ["subject"], R.WINDOW), "body": R.bm25(m, q, ["body"], R.WINDOW)}
-    legs["fused"] = R.fuse(list(legs.values()), R.WINDOW)
-    out = None
-    for name, leg in legs.items():
-        one = leg.select(F.lit(name).alias("method"), "query_id", "rank", "id")
-        out = one if out is None else out.unionByName(one)
-    return out
+    docs, q = searched(spark, d), asked(spark, d)
+    parts = passages(docs)
+    whole = search.find(docs, q, "hybrid", parts)
+    ranks = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("rank")) for m, c in (("bm25", "bm25_rank"), ("vector", "vector_rank"))])).alias("r")
+    # the legs' ranks are kept in the fused rows, so one search gives all three methods
+    every = R.fuse({"bm25": R.ranked(whole.matched, R.WINDOW), "vector": whole.vector}, 2 * R.WINDOW)
+    single = every.select("query_id", "id", ranks).select("r.method", "query_id", "r.rank", "id").where("rank is not null")
+    return single.unionByName(every.where(F.col("rank") <= R.WINDOW).select(F.lit("hybrid").alias("method"), "query_id", "rank", "id")).persist()
 
 
 @query
@@ -332,10 +339,8 @@ def label_todo(spark, d):
 
 @query
 def auto_grade(spark, d):
-    terms = R.query_terms(judged(spark, d)).groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    pool = pool_union(spark, d).join(mails(spark, d, "subject", "body"), "id").join(terms, "query_id")
-    text = F.lower(F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))))
-    return pool.select("query_id", "id", E.auto_grade(text, F.col("terms")).cast("int").alias("grade"))
+    docs = dated(spark, d, "subject", "body", "from_addr", "to_addrs")
+    return E.grade_pool(pool_union(spark, d), docs, E.rules(asked(spark, d)))
 
 
 @query

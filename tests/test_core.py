@@ -8,6 +8,7 @@ from mailquarry.operators import evaluation as E
 from mailquarry.operators import facets as A
 from mailquarry.operators import messages as M
 from mailquarry.operators import timestamps
+from mailquarry.operators import retrieval as R
 from mailquarry.plans import search
 
 
@@ -86,13 +87,60 @@ def test_query_parser():
     assert search.page_offset(search.page_token(40)) == 40 and search.page_offset("%%") == 0
 
 
+def docs_of(spark, rows):
+    """Messages for a search from (id, at, from_addr, to_addrs, cc_addrs, subject, body)."""
+    df = spark.createDataFrame(rows, "id string, at timestamp, from_addr string, to_addrs array<string>, cc_addrs array<string>, subject string, body string")
+    return df.withColumns({"message_id": F.col("id"), "from_name": F.lit(None).cast("string"), "has_attachment": F.lit(None).cast("boolean"), "duplicate_count": F.lit(None).cast("int"), "folder": F.lit("inbox")})
+
+
 def test_search_pages_and_filters(spark):
-    rows = [(f"{i:02d}", dt.datetime(2001, 1, 1 + i % 28), "a@x", ["b@y"], [], "gas deal" if i % 2 else "power", f"credit line {i}") for i in range(40)]
-    docs = spark.createDataFrame(rows, "id string, at timestamp, from_addr string, to_addrs array<string>, cc_addrs array<string>, subject string, body string")
-    one, two = (search.search(docs, "credit line", n, 20).collect() for n in (1, 2))
-    assert len({r["id"] for r in one + two}) == 40 and one[0]["more"]
-    assert {r["id"] for r in search.search(docs, '"gas deal" after:2001-01-20', 1, 50).collect()} == {r[0] for r in rows if r[5] == "gas deal" and r[1] >= dt.datetime(2001, 1, 20)}
-    assert search.search(docs, "from:nobody@x", 1, 5).count() == 0
+    rows = [(f"{i:02d}", dt.datetime(2001, 1, 1 + i % 28), "a@x", ["b@y"], [], "gas deal" if i % 2 else "power", f"credit line {i}") for i in range(40)] + [("zz", None, None, None, None, None, None)]
+    docs = docs_of(spark, rows)
+    queries = [("q1", "credit line"), ("q2", '"gas deal" after:2001-01-20'), ("q3", "from:nobody@x"), ("q4", "from:a@x before:2001-01-03"), ("q5", None), ("q6", 'to:b subject:deals cc:"c d"'), (None, "credit")]
+    tags = spark.createDataFrame([("03", "hot,new")], "email_id string, tags string")
+    for method in ("hybrid", "bm25", "vector"):
+        found = search.find(docs, search.asked(spark.createDataFrame(queries, "query_id string, query string")), method)
+        got = {}
+        for n in (1, 2):
+            for r in search.hits(found, docs, tags, n, 20).collect():
+                got.setdefault(r["query_id"], []).append(r)
+        assert {r["id"] for r in got["q1"]} == {f"{i:02d}" for i in range(40)} and {r["tags"] for r in got["q1"] if r["id"] == "03"} == {"hot,new"}
+        assert {r["id"] for r in got["q2"]} == {r[0] for r in rows if r[5] == "gas deal" and r[1] >= dt.datetime(2001, 1, 20)}
+        assert not got.keys() & {"q3", "q5", "q6"}
+        if method != "vector":
+            assert [r["id"] for r in sorted(got["q4"], key=lambda r: r["rank"])] == ["02", "30", "01", "29", "00", "28"] and got["q4"][0]["total"] == 6
+    assert search.find(docs.limit(0), found.asked).fused.count() == 0
+
+
+def test_picked_filters_and_tokens(spark):
+    docs = docs_of(spark, [(i, dt.datetime(2001, 1, 1), "a@x", [], [], "s", "b") for i in "abc"]).withColumn("has_attachment", F.col("id") == "a")
+    tags = spark.createDataFrame([("b", "hot,new")], "email_id string, tags string")
+    ids = lambda **k: {r["id"] for r in search.restrict(docs, search.Structured(**k), tags).collect()}
+    assert ids(tags=("hot",)) == {"b"} and ids(tags=("none",)) == set() and ids(has_attachment=False) == {"b", "c"} and ids(folders=("inbox",)) == {"a", "b", "c"}
+    with pytest.raises(ValueError):
+        search.Structured(tags=tuple("abcdefghijklmnopqr"))
+    assert search.page_token(20) == "eyJvIjoyMH0" and [search.page_offset(x) for x in ("eyJvIjoyMH0", "eyJvIjotMX0", "", "é", "e30")] == [20, 0, 0, 0, 0]
+    kinds = [(c.kind, c.value) for c in search.chips('gas from:A@b "two words" "open after:2001-1 before:2001-01-02 subject:x cc:')]
+    assert kinds == [("text", "gas"), ("person", "A@b"), ("phrase", "two words"), ("unknown", "open after:2001-1 before:2001-01-02 subject:x cc:")]
+    assert [c.kind for c in search.chips("after:2001-1 before:2001-01-02 subject:x cc:")] == ["unknown", "date", "text", "unknown"]
+    assert search.merged({"from": ["a"], "after": "x", "cc": []}, {"from": ["b", "a"], "after": None, "has_attachment": False}) == {"from": ["a", "b"], "after": "x", "has_attachment": False}
+    assert search.filter_count({"from": ["a", "b"], "after": "x"}) == 3
+    cache, made = search.Results(most=1, clock=lambda: 0.0), []
+    make = lambda: made.append(1) or search.Found(docs, docs, docs)
+    cache.get(("a",), 1, make), cache.get(("a",), 2, make)
+    cache.changed()
+    cache.get(("a",), 2, make)
+    assert len(made) == 2
+
+
+def test_marks_are_escaped(spark):
+    docs = docs_of(spark, [("a", None, None, None, None, "amp & <b>", "x" * 400 + " lt gas &lt; gas " + "word " * 60 + "gas")])
+    asked = search.asked(spark.createDataFrame([("q", "amp gas lt")], "query_id string, query string"))
+    r = R.highlight(docs, spark.createDataFrame([("q", "a")], "query_id string, id string"), asked).first()
+    assert r["subject_mark"] == "<em>amp</em> &amp; &lt;b&gt;"
+    first, second = r["fragments"].split(" ... ")
+    assert "<em>lt</em> <em>gas</em> &amp;<em>lt</em>; <em>gas</em>" in first and second.endswith("<em>gas</em>") and len(second) <= 169
+    assert R.edit_distance("califronia", "california") == 1 and R.edit_distance("ca", "abc") == 2 and R.edit_distance("", "ab") == 2
 
 
 def test_archive_sources(spark, tmp_path):
