@@ -118,9 +118,9 @@ TAGS = f"""WITH RECURSIVE e0 AS (SELECT DISTINCT ON (email_id, seq) email_id, se
 e AS (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY seq) AS n FROM e0),
 f AS (SELECT email_id, 0::BIGINT AS n, []::VARCHAR[] AS tags, NULL::VARCHAR AS who FROM e WHERE n = 1
 UNION ALL
-SELECT f.email_id, e.n, CASE WHEN e.op = 'replace' THEN e.a[1:16] WHEN e.op = 'patch' AND len(p.t) > 16 THEN f.tags ELSE p.t END,
-  CASE WHEN e.op = 'patch' AND len(p.t) > 16 THEN f.who ELSE e.tagged_by END
-FROM f JOIN e ON e.email_id = f.email_id AND e.n = f.n + 1, LATERAL (SELECT list_sort(list_filter(list_distinct(list_concat(f.tags, e.a)), lambda t: NOT list_contains(e.r, t))) AS t) p),
+SELECT f.email_id, e.n, CASE WHEN len(p.t) > 16 THEN f.tags ELSE p.t END,
+  CASE WHEN len(p.t) > 16 THEN f.who ELSE e.tagged_by END
+FROM f JOIN e ON e.email_id = f.email_id AND e.n = f.n + 1, LATERAL (SELECT CASE WHEN e.op = 'replace' THEN e.a ELSE list_sort(list_filter(list_distinct(list_concat(f.tags, e.a)), lambda t: NOT list_contains(e.r, t))) END AS t) p),
 last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY email_id ORDER BY n DESC) = 1),
 state AS (SELECT email_id, array_to_string(tags, ',') AS tags, who AS tagged_by FROM last WHERE len(tags) > 0)"""
 LINKS = f"""{M}, k AS (SELECT message_id, arg_min(id, (arrival, id)) AS parent FROM m WHERE message_id IS NOT NULL GROUP BY ALL),
@@ -135,7 +135,7 @@ def facet(name: str, values: str, size: int = 10) -> str:
     return f"(SELECT '{name}' AS facet, key, count(*) AS n FROM (SELECT DISTINCT id, unnest({values}) AS key FROM m) WHERE key IS NOT NULL AND key <> '' GROUP BY key ORDER BY n DESC, key LIMIT {size})"
 
 
-SHARDS = "s AS (SELECT event_id, 'v1' AS \"index\", event_id % 97 AS shard, user_id % 7 AS node, CASE WHEN event_type IN ('view', 'click') THEN 'p' ELSE 'r' END AS prirep FROM events)"
+SHARDS = "s AS (SELECT event_id, 'v1' AS \"index\", user_id % 1009 AS shard, event_id % 89 AS node, CASE WHEN event_type IN ('view', 'click') THEN 'p' ELSE 'r' END AS prirep FROM events)"
 VECTORS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[64] AS e, label FROM embeddings)"
 
 SQL: dict[str, str] = {
@@ -165,8 +165,8 @@ SELECT id, previous, strength FROM j WHERE strength > 0 QUALIFY row_number() OVE
     "chunk_windows": f"""WITH {M}, t AS (SELECT id, list_filter(regexp_split_to_array(concat_ws(chr(10) || chr(10), nullif(subject, ''), nullif(body, '')), '{SPACE}+'), lambda x: x <> '') AS w FROM m),
 c AS (SELECT id, w, unnest(range(0, least(8, greatest(1, ceil((len(w) - 200) / 160.0)::INT + 1)))) AS k FROM t WHERE len(w) > 0)
 SELECT id, k::INT AS chunk_no, len(w[k * 160 + 1 : k * 160 + 200])::INT AS n_tokens, array_to_string(w[k * 160 + 1 : k * 160 + 200], ' ') AS chunk FROM c""",
-    "incremental_reuse": f"""WITH {M}, a AS (SELECT id, coalesce(subject, '') || chr(10) || chr(10) || coalesce(body, '') AS x FROM m),
-b AS (SELECT id, coalesce(CASE WHEN id LIKE '%0' THEN subject || '!' ELSE subject END, '') || chr(10) || chr(10) || coalesce(body, '') AS y FROM m WHERE id < '8')
+    "incremental_reuse": """WITH r AS (SELECT id, arrival, coalesce(subject, '') || chr(10) || chr(10) || coalesce(body, '') AS x FROM emails WHERE id IS NOT NULL), h AS (SELECT (min(arrival) + max(arrival)) // 2 AS h FROM r),
+a AS (SELECT id, arg_max(x, arrival) AS x FROM r GROUP BY ALL), b AS (SELECT id, arg_max(x, arrival) AS y FROM r, h WHERE arrival <= h GROUP BY ALL)
 SELECT id, CASE WHEN y IS NULL THEN 'new' WHEN x = y THEN 'reuse' ELSE 'again' END AS action FROM a LEFT JOIN b USING (id)""",
     "sample_whole_groups": f"WITH {M}, s AS (SELECT mailbox, count(*) AS n FROM m WHERE mailbox IS NOT NULL GROUP BY ALL) SELECT mailbox, n, coalesce(sum(n) OVER (ORDER BY sha1(mailbox), mailbox ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s QUALIFY before < 500",
     "step_sample": f"WITH {M}, n AS (SELECT id, row_number() OVER (ORDER BY arrival, id) - 1 AS row_no, greatest(1, count(*) OVER () // 100) AS k FROM m) SELECT id, row_no FROM n WHERE row_no % k = 0",
@@ -181,11 +181,12 @@ SELECT id, CASE WHEN y IS NULL THEN 'new' WHEN x = y THEN 'reuse' ELSE 'again' E
     "filtered_search": f"WITH {DATED}, {ASK}, {bm25('o', EVEN, True)} SELECT query_id, id FROM o JOIN qa USING (query_id) WHERE sender IS NOT NULL OR after IS NOT NULL",
     "facet_terms": f"WITH {M} " + " UNION ALL ".join([facet("senders", "[lower(from_addr)]"), facet("recipients", "list_transform(list_concat(coalesce(to_addrs, []), coalesce(cc_addrs, [])), lambda x: lower(x))"), facet("folders", "[folder]"), facet("mailboxes", "[mailbox]"), facet("has_attachment", "[has_attachment::VARCHAR]", 2)]),
     "facet_month_histogram": f"WITH {DATED} SELECT strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n FROM m WHERE ts IS NOT NULL GROUP BY ALL",
-    "histogram_gapfill": f"""WITH {DATED}, h AS (SELECT date_trunc('month', ts AT TIME ZONE 'UTC')::DATE AS d, count(*) AS n FROM m WHERE ts IS NOT NULL AND folder = 'calendar' GROUP BY ALL),
-r AS (SELECT unnest(generate_series((SELECT min(d) FROM h)::TIMESTAMP, (SELECT max(d) FROM h)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS d) SELECT strftime(d, '%Y-%m') AS month, coalesce(n, 0)::BIGINT AS n FROM r LEFT JOIN h USING (d)""",
+    "histogram_gapfill": f"""WITH {DATED}, h AS (SELECT folder, date_trunc('month', ts AT TIME ZONE 'UTC')::DATE AS d, count(*) AS n FROM m WHERE ts IS NOT NULL GROUP BY ALL),
+r AS (SELECT folder, unnest(generate_series(min(d)::TIMESTAMP, max(d)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS d FROM h GROUP BY folder) SELECT r.folder, strftime(r.d, '%Y-%m') AS month, coalesce(n, 0)::BIGINT AS n FROM r LEFT JOIN h ON h.d = r.d AND h.folder IS NOT DISTINCT FROM r.folder""",
     "thread_view": f"WITH {DATED} SELECT thread_id, id, row_number() OVER (PARTITION BY thread_id ORDER BY ts NULLS LAST, id)::INT AS position, count(*) OVER (PARTITION BY thread_id) AS total FROM m WHERE thread_id IS NOT NULL QUALIFY position <= 100",
     "suggest_people": f"WITH {M}, p AS (SELECT DISTINCT left(mailbox, 2) AS prefix FROM mailboxes), c AS (SELECT lower(from_addr) AS address, count(*) AS n FROM m WHERE from_addr IS NOT NULL GROUP BY ALL) SELECT prefix, address, n FROM p JOIN c ON starts_with(address, prefix) QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY n DESC, address) <= 5",
-    "suggest_subjects": f"WITH {M} SELECT lower({topic('subject')}) AS subject, count(*) AS n FROM m WHERE regexp_matches(lower(subject), '(?:^|[^\\p{{L}}\\p{{N}}])credit li') GROUP BY ALL ORDER BY n DESC, 1 LIMIT 10",
+    "suggest_subjects": f"""WITH {M}, p AS (SELECT DISTINCT regexp_extract(query, '^([a-z]+ [a-z]{{2}})', 1) AS prefix FROM judged_queries), c AS (SELECT s AS subject, count(*) AS n FROM (SELECT lower({topic('subject')}) AS s FROM m) WHERE s <> '' GROUP BY s)
+SELECT prefix, subject, n FROM p JOIN c ON prefix <> '' AND contains(' ' || array_to_string({tokens('subject')}, ' '), ' ' || prefix) QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY n DESC, subject) <= 10""",
     "tag_fold": TAGS + " SELECT email_id, tags, tagged_by FROM state",
     "tag_counts": TAGS + " SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(tags, ',')) AS tag FROM state) GROUP BY ALL ORDER BY n DESC, tag LIMIT 200",
     "tag_filter": TAGS + f", {M} SELECT id, subject FROM m WHERE id IN (SELECT email_id FROM state WHERE list_has_any(string_split(tags, ','), ['privileged', 'hot']))",
@@ -207,7 +208,7 @@ round(quantile_disc(wall_ms, 0.99) FILTER (status = 200), 1) AS p99, round(max(w
     "phase_bucketing": """WITH a AS (SELECT min(sampled_at) AS a FROM latency_samples), x AS (SELECT CASE WHEN sampled_at < a + INTERVAL 60 SECOND THEN 'before' WHEN sampled_at < a + INTERVAL 200 SECOND THEN 'during' ELSE 'after' END AS phase, status FROM latency_samples, a WHERE sampled_at IS NOT NULL)
 SELECT phase, count(*) AS n, count(*) FILTER (status <> 200) AS failed FROM x GROUP BY ALL""",
     "status_transitions": "WITH s AS (SELECT query_id, sampled_at, sample_id AS seq, CASE WHEN status = 200 THEN 'up' ELSE 'down' END AS state FROM latency_samples) SELECT query_id, seq, state FROM (SELECT *, lag(state) OVER (PARTITION BY query_id ORDER BY sampled_at, seq) AS b FROM s) WHERE state IS DISTINCT FROM b",
-    "promoted_replicas": f"WITH {SHARDS} SELECT DISTINCT \"index\", shard FROM s WHERE prirep = 'p' AND event_id % 13 < 1 AND (shard, node) IN (SELECT (shard, node) FROM s WHERE prirep = 'r' AND event_id % 11 < 1)",
+    "promoted_replicas": f"WITH {SHARDS}, h AS (SELECT (min(event_id) + max(event_id)) // 2 AS h FROM s) SELECT DISTINCT \"index\", shard FROM s, h WHERE prirep = 'p' AND event_id > h AND (shard, node) IN (SELECT (shard, node) FROM s, h WHERE prirep = 'r' AND event_id <= h)",
     "busiest_primary": f"WITH {SHARDS} SELECT node, count(*) AS n FROM s WHERE prirep = 'p' GROUP BY ALL ORDER BY n DESC, node LIMIT 1",
     "facet_rollup": "SELECT strftime(l_shipdate, '%Y-%m') AS month, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (1, 2)",
     "hydrate_topk": "SELECT o_custkey, c_name, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders JOIN customer ON c_custkey = o_custkey QUALIFY rank <= 3",

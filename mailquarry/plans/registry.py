@@ -13,7 +13,7 @@ from mailquarry.operators import facets as A
 from mailquarry.operators import messages as M
 from mailquarry.operators import retrieval as R
 from mailquarry.operators import timestamps
-from mailquarry.plans import oracle, search
+from mailquarry.plans import oracle, oracle_reports, oracle_serving, search
 from mailquarry.runtime import first_deliveries, read_table
 
 FLAGSHIP = "hybrid_page"
@@ -23,8 +23,9 @@ SQL: dict[str, str] = {}
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
-    if f.__name__ in oracle.SQL:
-        SQL[f.__name__] = oracle.SQL[f.__name__]
+    for known in (oracle.SQL, oracle_serving.SQL, oracle_reports.SQL):
+        if f.__name__ in known:
+            SQL[f.__name__] = known[f.__name__]
     return f
 
 
@@ -143,9 +144,11 @@ def chunk_windows(spark, d):
 
 @query
 def incremental_reuse(spark, d):
-    """The archive against its state before the second half arrived, with edited subjects counted as changed."""
-    now = mails(spark, d, "subject", "body")
-    then = now.where(F.col("id") < "8").withColumn("subject", F.when(F.col("id").like("%0"), F.concat("subject", F.lit("!"))).otherwise(F.col("subject")))
+    """The archive against its state at the middle arrival, when a message was what its last copy by then said; edited are those whose later copy differs."""
+    rows = read_table(spark, d, "emails").select("id", "arrival", "subject", "body").where("id is not null")
+    middle = rows.agg(F.floor((F.min("arrival") + F.max("arrival")) / 2).alias("middle"))
+    then = rows.crossJoin(F.broadcast(middle)).where("arrival <= middle").groupBy("id").agg(F.max_by(F.struct("subject", "body"), "arrival").alias("r")).select("id", "r.*")
+    now = rows.groupBy("id").agg(F.max_by(F.struct("subject", "body"), "arrival").alias("r")).select("id", "r.*")
     return M.reuse_plan(now, then)
 
 
@@ -256,7 +259,8 @@ def facet_month_histogram(spark, d):
 
 @query
 def histogram_gapfill(spark, d):
-    return A.filled_histogram(A.month_histogram(dated(spark, d, "folder").where("folder = 'calendar'"), "at"))
+    """The months of every folder, without gaps."""
+    return A.filled_histogram(A.month_histogram(dated(spark, d, "folder"), "at", ["folder"]), ["folder"])
 
 
 @query
@@ -272,7 +276,9 @@ def suggest_people(spark, d):
 
 @query
 def suggest_subjects(spark, d):
-    return A.suggest_subjects(mails(spark, d, "subject"), "credit li")
+    """The first letters of every two-word query as a prefix."""
+    prefixes = judged(spark, d).select(F.regexp_extract("query", r"^([a-z]+ [a-z]{2})", 1).alias("prefix"))
+    return A.suggest_subjects(mails(spark, d, "subject"), prefixes)
 
 
 @query
@@ -374,15 +380,18 @@ def status_transitions(spark, d):
 
 
 def _shards(spark, d):
-    """Shard placements read out of the events: the user is the node, the event the shard, its number the role."""
+    """Shard placements read out of the events: the user tells the shard, the event's number the node, its type the role."""
     e = read_table(spark, d, "events")
-    return e.select("event_id", F.lit("v1").alias("index"), (F.col("event_id") % 97).alias("shard"), (F.col("user_id") % 7).alias("node"), F.when(F.col("event_type").isin("view", "click"), "p").otherwise("r").alias("prirep"))
+    return e.select("event_id", F.lit("v1").alias("index"), (F.col("user_id") % 1009).alias("shard"), (F.col("event_id") % 89).alias("node"), F.when(F.col("event_type").isin("view", "click"), "p").otherwise("r").alias("prirep"))
 
 
 @query
 def promoted_replicas(spark, d):
+    """Placements in the first half of the events against those in the second."""
     s = _shards(spark, d)
-    return E.promoted(s.where("event_id % 11 < 1"), s.where("event_id % 13 < 1"))
+    half = s.agg(F.floor((F.min("event_id") + F.max("event_id")) / 2).alias("half"))
+    split = s.crossJoin(F.broadcast(half))
+    return E.promoted(split.where("event_id <= half"), split.where("event_id > half"))
 
 
 @query
