@@ -122,8 +122,8 @@ def fuzzy_expansion(vocab: DataFrame, terms: DataFrame, most: int = 50) -> DataF
     return exact.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("field", "term", "word", "df", "d")
 
 
-def bm25_scores(docs: DataFrame, asked: DataFrame, fields: list[Field], fuzzy: bool = True, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, s): every match of the free terms; the best field wins, with the share of terms that must occur in it.
+def field_scores(docs: DataFrame, asked: DataFrame, fields: list[Field], fuzzy: bool = True, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, field, id, s): every match of the free terms in a field, with the share of them that must occur there.
 
     ``allowed`` (query_id, id) restricts the queries with filters (``asked.filtered``) before anything is scored; the
     statistics are those of the whole collection. A term counts through its nearest spellings, less for each edit.
@@ -153,7 +153,7 @@ def bm25_scores(docs: DataFrame, asked: DataFrame, fields: list[Field], fuzzy: b
     part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     per_term = met.groupBy("query_id", "field", "id", "term").agg(F.max(part).alias("s"), F.first("least").alias("least"), F.first("boost").alias("boost"))
     per_field = per_term.groupBy("query_id", "field", "id").agg((F.sum("s") * F.first("boost")).alias("s"), F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"))
-    return per_field.where("hits >= least").groupBy("query_id", "id").agg(F.max("s").alias("s"))
+    return per_field.where("hits >= least").select("query_id", "field", "id", "s")
 
 
 def bm25_leg(docs: DataFrame, asked: DataFrame, fields: list[Field], fuzzy: bool = True, allowed: DataFrame | None = None) -> DataFrame:
@@ -161,7 +161,7 @@ def bm25_leg(docs: DataFrame, asked: DataFrame, fields: list[Field], fuzzy: bool
 
     A phrase counts 3 in the subject and 1 in the body.
     """
-    scored = bm25_scores(docs, asked, fields, fuzzy, allowed)
+    scored = field_scores(docs, asked, fields, fuzzy, allowed).groupBy("query_id", "id").agg(F.max("s").alias("s"))  # the best field wins
     quoted = phrase_match(docs, asked, ["subject", "body"])
     if allowed is not None:
         filtered = quoted.join(F.broadcast(asked.select("query_id", "filtered")), "query_id")

@@ -138,6 +138,15 @@ def facet(name: str, values: str, size: int = 10) -> str:
 SHARDS = "s AS (SELECT event_id, 'v1' AS \"index\", user_id % 1009 AS shard, event_id % 89 AS node, CASE WHEN event_type IN ('view', 'click') THEN 'p' ELSE 'r' END AS prirep FROM events)"
 VECTORS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[64] AS e, label FROM embeddings)"
 
+EMBEDDABLE = f"concat_ws(chr(10) || chr(10), nullif({strip('coalesce(subject, %s)' % _quoted(''))}, ''), nullif({strip('coalesce(body, %s)' % _quoted(''))}, ''))"
+_LOW = lambda c: f"list_distinct(list_filter(list_transform(coalesce({c}, []), lambda x: lower(x)), lambda x: x IS NOT NULL))"
+PREDECESSORS = f"""{DATED}, pb AS (SELECT id, ts, lower(from_addr) AS who, {_LOW("to_addrs")} AS tos, {topic('subject')} AS topic, regexp_matches(coalesce(subject, ''), {_quoted(REPLY_MARKS)}) AS answers, regexp_matches(coalesce(subject, ''), {_quoted(FORWARD_CHAIN)}) AS forward FROM m),
+po AS (SELECT topic, min(ts) AS oldest FROM pb GROUP BY ALL),
+pj AS (SELECT a.id, b.id AS previous, b.ts AS b_at, CASE WHEN coalesce(list_contains(a.tos, b.who) AND a.who IS DISTINCT FROM b.who, false) THEN 2 WHEN coalesce(list_contains(b.tos, a.who), false) THEN 1 WHEN coalesce(a.who = b.who AND (list_has_any(a.tos, b.tos) OR a.forward), false) THEN 1 ELSE 0 END AS strength
+FROM pb a JOIN pb b ON a.topic = b.topic AND a.topic <> '' AND a.answers AND a.id <> b.id JOIN po ON po.topic = a.topic
+WHERE CASE WHEN b.ts IS NULL THEN (a.ts IS NULL AND b.id < a.id) OR (a.ts IS NOT NULL AND (oldest IS NULL OR oldest >= a.ts - INTERVAL 30 DAY)) ELSE a.ts IS NOT NULL AND (b.ts < a.ts OR (b.ts = a.ts AND b.id < a.id)) AND b.ts >= a.ts - INTERVAL 30 DAY END),
+pred AS (SELECT id, previous, strength FROM pj WHERE strength > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY strength DESC, b_at DESC NULLS LAST, previous DESC) = 1)"""
+
 SQL: dict[str, str] = {
     "canonical_ids": f"WITH {M} SELECT id, sha1(coalesce(lower(from_addr), '') || chr(10) || lower(array_to_string(list_sort(list_concat(coalesce(to_addrs, []), coalesce(cc_addrs, []))), ',')) || chr(10) || coalesce(date_text, '') || chr(10) || {strip('coalesce(subject, %s)' % _quoted(''))} || chr(10) || {strip('coalesce(body, %s)' % _quoted(''))}) AS canonical FROM m",
     "dedupe_merge": """WITH d AS (SELECT id, arg_min(struct_pack(s := subject, f := from_addr), arrival) AS f, count(*) AS deliveries FROM emails WHERE id IS NOT NULL GROUP BY ALL),
@@ -158,14 +167,11 @@ SELECT id, lower({strip("regexp_replace(" + strip("from_addr") + ", '^<+|>+$', '
     "reply_links": f"WITH {LINKS} SELECT id, parent FROM links",
     "thread_components": COMPONENTS + " SELECT id, component FROM comp",
     "thread_stats": COMPONENTS + ", z AS (SELECT component, count(*) AS n FROM comp GROUP BY ALL) SELECT count(*) AS threads, count(*) FILTER (n > 1) AS multi_message_threads, max(n) AS largest FROM z",
-    "best_predecessor_30d": f"""WITH {DATED}, b AS (SELECT id, ts, lower(from_addr) AS who, list_transform(coalesce(to_addrs, []), lambda x: lower(x)) AS tos, {topic('subject')} AS topic, regexp_matches(coalesce(subject, ''), {_quoted(REPLY_MARKS)}) AS answers, regexp_matches(coalesce(subject, ''), {_quoted(FORWARD_CHAIN)}) AS forward FROM m WHERE ts IS NOT NULL),
-j AS (SELECT a.id, b.id AS previous, b.ts AS b_at, CASE WHEN list_contains(a.tos, b.who) AND a.who <> b.who THEN 2 WHEN list_contains(b.tos, a.who) THEN 1 WHEN a.who = b.who AND (list_has_any(a.tos, b.tos) OR a.forward) THEN 1 ELSE 0 END AS strength
-FROM b a JOIN b ON a.topic = b.topic AND a.topic <> '' AND a.answers AND a.id <> b.id AND epoch(a.ts) - epoch(b.ts) BETWEEN 0 AND 30 * 86400 AND (b.ts < a.ts OR b.id < a.id))
-SELECT id, previous, strength FROM j WHERE strength > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY strength DESC, b_at DESC, previous DESC) = 1""",
+    "best_predecessor_30d": "WITH " + PREDECESSORS + " SELECT id, previous, strength FROM pred",
     "chunk_windows": f"""WITH {M}, t AS (SELECT id, list_filter(regexp_split_to_array(concat_ws(chr(10) || chr(10), nullif(subject, ''), nullif(body, '')), '{SPACE}+'), lambda x: x <> '') AS w FROM m),
 c AS (SELECT id, w, unnest(range(0, least(8, greatest(1, ceil((len(w) - 200) / 160.0)::INT + 1)))) AS k FROM t WHERE len(w) > 0)
 SELECT id, k::INT AS chunk_no, len(w[k * 160 + 1 : k * 160 + 200])::INT AS n_tokens, array_to_string(w[k * 160 + 1 : k * 160 + 200], ' ') AS chunk FROM c""",
-    "incremental_reuse": """WITH r AS (SELECT id, arrival, coalesce(subject, '') || chr(10) || chr(10) || coalesce(body, '') AS x FROM emails WHERE id IS NOT NULL), h AS (SELECT (min(arrival) + max(arrival)) // 2 AS h FROM r),
+    "incremental_reuse": f"""WITH r AS (SELECT id, arrival, {EMBEDDABLE} AS x FROM emails WHERE id IS NOT NULL), h AS (SELECT (min(arrival) + max(arrival)) // 2 AS h FROM r),
 a AS (SELECT id, arg_max(x, arrival) AS x FROM r GROUP BY ALL), b AS (SELECT id, arg_max(x, arrival) AS y FROM r, h WHERE arrival <= h GROUP BY ALL)
 SELECT id, CASE WHEN y IS NULL THEN 'new' WHEN x = y THEN 'reuse' ELSE 'again' END AS action FROM a LEFT JOIN b USING (id)""",
     "sample_whole_groups": f"WITH {M}, s AS (SELECT mailbox, count(*) AS n FROM m WHERE mailbox IS NOT NULL GROUP BY ALL) SELECT mailbox, n, coalesce(sum(n) OVER (ORDER BY sha1(mailbox), mailbox ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s QUALIFY before < 500",
@@ -195,7 +201,7 @@ SELECT prefix, subject, n FROM p JOIN c ON prefix <> '' AND contains(' ' || arra
     "ndcg_mrr_recall": METRICS + " SELECT method, query_id, ndcg, mrr, recall FROM met",
     "eval_grouping_sets": METRICS + " SELECT method, coalesce(split, '*') AS split, coalesce(category, '*') AS category, count(*) AS queries, round(avg(ndcg), 5) AS ndcg, round(avg(mrr), 5) AS mrr, round(avg(recall), 5) AS recall FROM met JOIN judged_queries USING (query_id) GROUP BY GROUPING SETS ((method), (method, split), (method, category))",
     "pool_union": RUNS + " SELECT DISTINCT query_id, id FROM runs WHERE rank <= 20",
-    "label_todo": RUNS + " SELECT DISTINCT query_id, id FROM runs WHERE rank <= 20 AND (query_id, id) NOT IN (SELECT (query_id, doc_id) FROM qrels WHERE source = 'human' AND grade IS NOT NULL AND doc_id IS NOT NULL)",
+    "label_todo": RUNS + " SELECT DISTINCT query_id, id FROM runs WHERE rank <= 20 AND (query_id, id) NOT IN (SELECT (query_id, doc_id) FROM qrels WHERE (source = 'human' OR source LIKE 'auto:%') AND grade IS NOT NULL AND query_id IS NOT NULL AND doc_id IS NOT NULL)",
     "auto_grade": RUNS + f""", po AS (SELECT DISTINCT query_id, id FROM runs WHERE rank <= 20),
 h AS (SELECT query_id, po.id, phrases, sender IS NOT NULL OR after IS NOT NULL AS filtered, {tokens("text")} AS terms, (sender IS NULL OR lower(from_addr) = sender) AND (after IS NULL OR coalesce((ts AT TIME ZONE 'UTC')::DATE >= after::DATE, false)) AS fits, lower(coalesce(subject, '') || chr(10) || coalesce(body, '')) AS x FROM po JOIN qa USING (query_id) JOIN m ON m.id = po.id),
 g AS (SELECT *, len(list_filter(list_distinct(terms), lambda t: contains(x, t))) AS hits, len(list_distinct(terms)) AS k FROM h),

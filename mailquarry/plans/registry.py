@@ -339,8 +339,9 @@ def pool_union(spark, d):
 
 @query
 def label_todo(spark, d):
-    human = read_table(spark, d, "qrels").where("source = 'human' and grade is not null").select("query_id", F.col("doc_id").alias("id")).distinct()
-    return pool_union(spark, d).join(human, ["query_id", "id"], "left_anti")
+    """Pooled pairs that neither a rule nor a reader has graded."""
+    done = read_table(spark, d, "qrels").where("(source = 'human' or source like 'auto:%') and grade is not null").select("query_id", F.col("doc_id").alias("id")).distinct()
+    return pool_union(spark, d).join(done, ["query_id", "id"], "left_anti")
 
 
 @query

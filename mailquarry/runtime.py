@@ -23,6 +23,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
+        if named is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mailquarry-ckpt-"))
         current = sc.getCheckpointDir()
     return named or current
@@ -51,8 +53,8 @@ BROADCAST_IDS = 500_000
 def first_deliveries(df: DataFrame, id_col: str = "id", order_col: str = "arrival") -> DataFrame:
     """``df`` with one row per id, the one with the least ``order_col``; rows without an id are left out.
 
-    Only ids that repeat are gathered, so the wide rows are not shuffled while those ids are few.
+    Only ids that repeat are gathered, and kept, so the wide rows are not shuffled while those ids are few.
     """
-    again = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col, "_first")
+    again = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col, "_first").persist()
     joined = df.where(F.col(id_col).isNotNull()).join(broadcast_if(again, BROADCAST_IDS), id_col, "left")
     return joined.where(F.col("_first").isNull() | (F.col("_first") == F.col(order_col))).drop("_first")

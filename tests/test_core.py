@@ -154,11 +154,31 @@ def test_archive_sources(spark, tmp_path):
     assert set(got["sent"]["reasons"]) == {"date-unparseable", "message-id-missing"}
     t = archive.Versions(spark, str(tmp_path / "v"), "mails")
     df = spark.range(5)
-    t.point(t.write(df, 5))
+    assert t.point(t.write(df, 5)) is None and t.create() is None and t.point(1) == 1
     assert t.read().count() == 5 and t.snapshot(str(tmp_path / "snap")) == 5
     assert t.restore(str(tmp_path / "snap")) == 2 and t.current() == 1
     with pytest.raises(ValueError):
         t.write(df, 6)
+    assert t.versions() == [1, 2] and t.restore(str(tmp_path / "snap"), 7) == 7
+    with pytest.raises(ValueError):
+        t.restore(str(tmp_path / "snap"), 7)
+    assert archive.write_jsonl(df, str(tmp_path / "j")) == 5 and archive.read_jsonl(spark, str(tmp_path / "j"), "id bigint").count() == 5
+    (tmp_path / "x").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        archive.set_aside(spark, str(tmp_path / "x"), "00")
+    assert (tmp_path / "x.bad").exists() and archive.marker("d", "dev", 5) == "d:dev:5" and archive.marker("d", "full") == "d:full"
+
+
+def test_messages_are_parsed_whole():
+    from mailquarry.sources import archive
+
+    html = b"From: a@b.c\nBcc: x@y.z\nContent-Type: multipart/alternative; boundary=q\n\n--q\nContent-Type: text/html\n\n<b>hi</b>\n--q--\n"
+    r = archive.parse_message("box/sub/deep/1.", html)
+    assert (r["body"], r["bcc_addrs"], r["folder"], r["mailbox"]) == ("", ["x@y.z"], "sub/deep", "box")
+    plain = archive.parse_message("box/1.", b"From: A <a@b.c>\nSubject: it\x01,s\nDate: Mon, 14 May 2001 16:39:00\n\nnew \x01,\x02\n> old\n")
+    assert (plain["body"], plain["quoted_text"], plain["folder"], plain["from_name"], plain["has_attachment"]) == ("new ’", "> old", "", "A", False)
+    assert plain["date_utc"].isoformat() == "2001-05-14T16:39:00+00:00" and plain["reasons"] == ["message-id-missing"]
+    assert archive.addresses(["A <a@b.c>, B <b@c.d>"]) == ["a@b.c", "b@c.d"] and archive.addresses(["see r@s.tt or R@s.tt"]) == ["r@s.tt"]
 
 
 def test_streams(spark, tmp_path):
@@ -180,3 +200,27 @@ def test_the_declared_order_is_a_likelihood(spark):
     assert {out[f"a{i}"]["utc_us"] for i in range(5)} == {micros(1999, 2, 3, 10, 0)} and out["a0"]["posterior"] < 1
     assert out["b"]["status"] == "mistyped" and out["b"]["utc_us"] is None and out["e"]["status"] == "no_unit"
     assert out["c"]["utc_us"] == micros(1999, 3, 2, 10, 0) and out["d"]["utc_us"] == micros(1999, 3, 3, 10, 0)
+
+
+def test_stream_counts_and_tags_equal_batches(spark, tmp_path):
+    from mailquarry.streaming import feeds
+
+    mails = [("a", dt.datetime(2001, 1, 31, 23), "m"), ("b", dt.datetime(2001, 2, 1), "m"), ("c", dt.datetime(2001, 1, 2), None), ("d", None, "m")]
+    df = spark.createDataFrame(mails, "id string, ingested_at timestamp, mailbox string")
+    df.write.parquet(str(tmp_path / "mails"))
+    counts = feeds.monthly_counts(feeds.mail_stream(spark, str(tmp_path / "mails"), df.schema))
+    counts.writeStream.format("memory").queryName("months").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    assert {tuple(r) for r in spark.table("months").collect()} == {("2001-01", "m", 1), ("2001-02", "m", 1), ("2001-01", None, 1)}
+
+    many = [f"t{i:02d}" for i in range(17)]
+    rows = [("m", 3, "patch", ["c"], ["a"], "w"), ("m", 1, "replace", ["a", "b"], [], "u"), ("m", 1, "replace", ["a", "b"], [], "u"), ("n", 1, "replace", many, [], "u"), ("n", 2, "patch", ["x"], [], None), ("m", 2, "patch", ["d"], ["b"], "v"), ("o", 1, "patch", ["x"], [], "u"), ("o", 2, "replace", [], None, "u")]
+    schema = "email_id string, seq bigint, op string, add_tags array<string>, remove_tags array<string>, tagged_by string"
+    events = spark.createDataFrame(rows, schema)
+    for i in range(0, len(rows), 3):  # late and repeated events come in other batches
+        spark.createDataFrame(rows[i : i + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "tags"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "tags"))
+    feeds.tag_states(stream).writeStream.format("memory").queryName("tags").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(180)
+    last: dict = {}
+    for r in spark.table("tags").collect():
+        last[r["email_id"]] = (r["tags"], r["tagged_by"])
+    assert {k: v for k, v in last.items() if v[0]} == {r["email_id"]: (r["tags"], r["tagged_by"]) for r in A.tag_fold(events).collect()} == {"m": ("c,d", "w"), "n": ("x", None)}

@@ -2,9 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from mailquarry.plans import registry
 
 D = "/root/testdata/sf0.001"
-SAMPLE = ["canonical_ids", "dedupe_merge", "split_quoted", "reply_links", "thread_components", "bm25_topk", "phrase_matches", "fuzzy_terms", "facet_terms", "tag_fold", "ndcg_mrr_recall", "latency_percentiles", "best_predecessor_30d"]
+SAMPLE = sorted(registry.SQL)
 
 
 def canon(rows):
