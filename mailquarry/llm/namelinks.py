@@ -4,7 +4,8 @@ Spellings that a name and its address confirm together are ranked by how often t
 the candidate canonical forms. Every mention is compared with the candidates of a similar surname (or
 company word): keys are the word and each of its one-letter deletions, so that any single typing error
 meets. The posterior of a candidate is its frequency (the prior) times the likelihoods of the typed name
-(exact, typing error, nickname, initial, missing part) and of the address (one of the forms that the name
+(exact, typing error, nickname, initial, missing part; given names and nicknames are learned from names whose
+address has the same surname) and of the address (one of the forms that the name
 may take there, a typing error in one, another house). A mention goes to its maximum posterior, if that
 is clear; else it stays with mentions of the same address or spelling.
 
@@ -18,40 +19,28 @@ import math
 import re
 from collections.abc import Iterator
 
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.pii import _COMPANY, _TITLES, fold
+from mailquarry.llm.pii import COMPANY as _COMPANY
+from mailquarry.llm.pii import TITLES as _TITLES
+from mailquarry.llm.pii import fold
+from mailquarry.runtime import broadcast_if
 
 #: A given name stands with at least so many different surnames; rarer ones are taken for typing errors.
 MIN_SURNAMES = 3
-#: The given-name model keeps at most so many words.
-MAX_GIVEN = 50_000
+#: A nickname is one if it stands for a name with at least so many surnames; with one only if it begins or ends like the name.
+MIN_NICKNAMED = 2
+#: Rows of the name model that are sent to every executor; a larger one is joined by shuffling.
+BROADCAST_MODEL = 200_000
 #: The best candidate must be so many times as likely as the next.
 MIN_ODDS = 3.0
 #: The least likelihood, without the prior, at which a mention is attached at all.
 MIN_LIKELIHOOD = 1e-6
-#: Role mailboxes, legal forms, and nicknames by the names they stand for.
+#: Role mailboxes and legal forms.
 _ROLES = frozenset("accounts admin billing contact enquiries help hr info invoices mail marketing newsletter noreply no-reply office operations ops orders payments postmaster reception sales service support team webmaster".split())
 _LEGAL = frozenset("ag and bv co company corp corporation gmbh inc incorporated limited llc lp ltd plc sa sarl the".split())
-NICKNAMES = {
-    "alastair": "al alec ali", "anneliese": "anne annie liesl lise anna", "aurelio": "leo", "bartholomew": "bart barty", "benedikt": "ben benny", "bernadette": "bernie detta bernadet", "bjorn": "",
-    "clementine": "clem clemmie tina", "cornelius": "con neil corny cor", "desmond": "des dez", "dimitri": "dima mitya", "dorothea": "dot dottie dora thea dotty", "eleonora": "nora ellie leo elle", "evangeline": "eva evie angie eve",
-    "fabian": "fabi fab", "ferdinand": "ferdi ferd nando", "florian": "flo", "francoise": "fran frankie", "frank": "frankie", "georgina": "georgie gina", "grace": "gracie", "gudrun": "gudi", "gwendolyn": "gwen wendy", "harriet": "hattie harri", "henrike": "rike henni",
-    "humphrey": "humph", "ignacio": "nacho iggy", "imogen": "immy", "isadora": "izzy dora issy", "jeremiah": "jerry jem", "joaquin": "quino joe jack", "jose": "pepe", "josephine": "jo josie josi", "jurgen": "jogi", "katarina": "kat kate katie kati", "konstantin": "kostya kon", "kristoffer": "kris chris",
-    "lavinia": "vinnie livvy", "leonora": "nora leo lenny", "leopold": "leo poldi", "lucinda": "lucy cindy", "maren": "mari", "mathilda": "tilly matty tilda", "maximilian": "max", "montgomery": "monty", "natalia": "talia nat nata", "nathaniel": "nate nat", "nikolai": "nik kolya nick niko", "octavia": "tavi tavia",
-    "oliver": "ollie", "oswald": "ozzie oz", "ottilie": "tilly otti", "patricia": "pat trish patty tricia", "percival": "percy", "philippa": "pip pippa", "quentin": "quent", "rafaela": "rafi raffi", "reginald": "reg reggie", "rodrigo": "rod rodri", "rosalind": "roz rose ros", "samantha": "sam sammy", "seraphina": "sera fina",
-    "sigrid": "siri", "thaddeus": "tad thad", "theodora": "theo dora teddy", "timothy": "tim timmy", "tobias": "tobi toby", "ulrich": "uli", "ursula": "uschi ursi", "valentin": "val", "veronika": "vroni ronnie nika", "victoria": "vicky tori vic", "wendell": "wen", "wilhelmina": "mina billie willa", "winifred": "winnie fred freddie win",
-    "xenia": "xeni", "yolanda": "yoli yola", "zacharias": "zack zach zac",
-}
-_FULL: dict[str, set[str]] = {}
-for _name, _nicks in NICKNAMES.items():
-    for _nick in _nicks.split():
-        _FULL.setdefault(_nick, set()).add(_name)
-
-
 def deletions(word: str) -> set[str]:
     """The word and all its one-letter deletions: two words that share one are at most one typing error apart, or two deletions."""
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 3 else {word}
@@ -114,22 +103,25 @@ def company_words(name: str | None) -> list[str]:
     return [w for w in (fold(x) for x in words) if w not in _LEGAL]
 
 
-def address_forms(g: str, s: str) -> set[str]:
+def address_forms(g: str, s: str, nicks: list[str]) -> set[str]:
     """Local parts that a person's address may have."""
-    firsts = {g, *NICKNAMES.get(g, "").split()}
+    firsts = {g, *nicks}
     return {f"{a}{x}{s}" for a in firsts for x in "._-"} | {f"{s}{x}{a}" for a in firsts for x in "._-"} | {f"{g[0]}{s}", f"{s}{g[0]}", f"{g[0]}.{s}", f"{g}{s}", s}
 
 
-def likelihood(canon: tuple[str, str, str], seen: tuple[str, str, str, str, str], forms: set[str], known: set[str]) -> float:
-    """How likely a person (given, surname, domain) is written as (given, initial, surname, local, domain)."""
+def likelihood(canon: tuple[str, str, str], seen: tuple[str, str, str, str, str], forms: set[str], fulls: list[str], given: bool) -> float:
+    """How likely a person (given, surname, domain) is written as (given, initial, surname, local, domain).
+
+    ``fulls`` are the names that the typed given name may stand for, ``given`` is whether it is a known one.
+    """
     g, s, d = canon
     ng, ni, ns, local, dom = seen
     p = 1.0
     if ns:
         p *= 0.9 if ns == s else 0.03 if len(s) > 3 and one_edit(ns, s) else 1e-9
     if ng:
-        nick = g in _FULL.get(ng, ())
-        p *= 0.5 if ng == g else 0.15 if nick else 0.02 if len(g) > 3 and one_edit(ng, g) else 0.004 if ng not in known and len(ng) > 2 and (g[:3] == ng[:3] or g.endswith(ng)) else 1e-7
+        nick = g in fulls
+        p *= 0.5 if ng == g else 0.15 if nick else 0.02 if len(g) > 3 and one_edit(ng, g) else 0.004 if not given and len(ng) > 2 and (g[:3] == ng[:3] or g.endswith(ng)) else 1e-7
     elif ni:
         p *= 0.15 if ni == g[0] else 1e-6
     elif ns:
@@ -147,8 +139,12 @@ def likelihood(canon: tuple[str, str, str], seen: tuple[str, str, str, str, str]
     return p
 
 
-def _given_names(mentions: DataFrame) -> set[str]:
-    """Folded words that are written before at least MIN_SURNAMES different surnames that the address confirms."""
+def _evidence(mentions: DataFrame) -> DataFrame:
+    """(kind, word, other, surname): what single spellings tell about names, their address confirming the surname.
+
+    ``given``: a word written before a surname, the address beginning with its letter. ``nick``: two words that stand for each
+    other beside one surname, one in the name and the other in the address; the longer one is the name.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,12 +153,42 @@ def _given_names(mentions: DataFrame) -> set[str]:
                 local, _ = house(address)
                 m = re.fullmatch(r"([^\W\d_]+)\s+(?:[^\W\d_]\.?\s+)?([^\W\d_]+)", name or "")
                 if m and not name.isupper() and len(m[1]) > 2 and local.endswith(fold(m[2])) and local[:1] == fold(m[1])[:1]:
-                    rows.add((fold(m[1]), fold(m[2])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["given", "surname"])
+                    rows.add(("given", fold(m[1]), "", fold(m[2])))
+                plain = re.sub(r"\(.*?\)|<.*?>|[\"'“”]", " ", name or "")
+                words = [fold(w) for w in re.findall(r"[^\W\d_]+", plain) if len(w) > 1 and w.lower() not in _TITLES]
+                parts = [x for x in re.split(r"[._-]", local) if x]
+                if len(words) == 2 == len(parts) and local not in _ROLES:
+                    for own, surname in (words, words[::-1]):
+                        there = parts[1] if parts[0] == surname else parts[0] if parts[1] == surname else ""
+                        if there and own not in parts and len(there) > 1 and not one_edit(own, there):
+                            rows.add(("nick", max(own, there, key=lambda w: (len(w), w)), min(own, there, key=lambda w: (len(w), w)), surname))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["kind", "word", "other", "surname"])
+
+    return mentions.select("name_typed", "address").distinct().mapInArrow(read, "kind string, word string, other string, surname string").distinct()
 
-    pairs = mentions.select("name_typed", "address").distinct().mapInArrow(read, "given string, surname string")
-    counted = pairs.groupBy("given").agg(F.countDistinct("surname").alias("n")).where(F.col("n") >= MIN_SURNAMES)
-    return {r["given"] for r in counted.orderBy(F.desc("n"), "given").limit(MAX_GIVEN).collect()}  # bounded by MAX_GIVEN
+
+def name_model(mentions: DataFrame) -> DataFrame:
+    """(word, given, fulls, nicks): whether a folded word is a known given name, the names it may stand for, and those that may stand for it.
+
+    A given name stands before at least MIN_SURNAMES surnames.
+    """
+    evidence = _evidence(mentions).persist()
+    given = evidence.where("kind = 'given'").groupBy("word").agg(F.countDistinct("surname").alias("n")).where(F.col("n") >= MIN_SURNAMES).select("word")
+    alike = (F.substring("word", 1, 1) == F.substring("other", 1, 1)) | F.col("word").endswith(F.col("other"))
+    nicks = evidence.where("kind = 'nick'").groupBy("word", "other").agg(F.countDistinct("surname").alias("n")).where((F.col("n") >= MIN_NICKNAMED) | alike)
+    # the longer word must be a known name, or stand for more than one surname
+    nicks = nicks.join(given.withColumn("known", F.lit(True)), "word", "left").where(F.col("known") | (F.col("n") >= MIN_NICKNAMED)).select("word", "other")
+    none = F.lit(None).cast("string")
+    rows = given.select("word", F.lit(True).alias("given"), none.alias("full"), none.alias("nick"))
+    rows = rows.unionByName(nicks.select("word", F.lit(False).alias("given"), none.alias("full"), F.col("other").alias("nick")))
+    rows = rows.unionByName(nicks.select(F.col("other").alias("word"), F.lit(False).alias("given"), F.col("word").alias("full"), none.alias("nick")))
+    return rows.groupBy("word").agg(F.max("given").alias("given"), F.sort_array(F.collect_set("full")).alias("fulls"), F.sort_array(F.collect_set("nick")).alias("nicks"))
+
+
+def _words_of(name: str | None, address: str | None) -> set[str]:
+    """The folded words under which the model may know a spelling."""
+    local, _ = house(address)
+    return {fold(w) for w in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", name or "")} | {x for x in re.split(r"[._-]", local) if x}
 
 
 def link(mentions: DataFrame) -> DataFrame:
@@ -170,41 +196,51 @@ def link(mentions: DataFrame) -> DataFrame:
     rows = mentions.where("mention_id is not null").select("mention_id", "name_typed", "address", F.coalesce("n_seen", F.lit(1)).alias("n_seen")).dropDuplicates(["mention_id"])
     # Distinct spellings are attributed once, whatever the number of mentions that share them.
     forms = rows.groupBy("name_typed", "address").agg(F.sum("n_seen").alias("n_seen"))
-    given = _given_names(rows)
-    shared = mentions.sparkSession.sparkContext.broadcast(given)
+    model = name_model(rows).persist()
+    near = broadcast_if(model, BROADCAST_MODEL)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(_words_of(n, a)) for n, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield batch.append_column("words", pa.array(found, pa.list_(pa.string())))
+
+    asking = forms.mapInArrow(ask, "name_typed string, address string, n_seen bigint, words array<string>")
+    told = asking.withColumn("word", F.explode_outer("words")).join(near, "word", "left")
+    told = told.groupBy("name_typed", "address", "n_seen").agg(F.collect_list(F.when(F.col("given").isNotNull(), F.struct("word", "given", "fulls", "nicks"))).alias("model"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             out = []
-            for name, address, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, address, n, model_ in zip(*(c.to_pylist() for c in batch.columns)):
+                known = {m["word"] for m in model_ if m["given"]}
+                full = {m["word"]: m["fulls"] for m in model_ if m["fulls"]}
+                short = {m["word"]: m["nicks"] for m in model_}
                 local, dom = house(address)
                 if is_company(name, local):
                     words = company_words(name)
                     keys = {f"o:{dom}"} if dom else {f"w:{k}" for w in [*words, "".join(words)] for k in deletions(w) if w not in _COMPANY}
-                    out.append((name, address, n, "org", "", "", " ".join(words), local, dom, False, sorted(keys)))
+                    out.append((name, address, n, "org", "", "", " ".join(words), local, dom, False, sorted(keys), [], False))
                     continue
-                g, i, s = read_name(name, known)
+                g, i, s = read_name(name, known | full.keys())
                 parts = [x for x in re.split(r"[._-]", local) if x]
                 surnames = {s, *(parts if len(parts) > 1 else [local, local[1:], local[:-1]])} - {""}
                 keys = {f"p:{k}" for x in surnames if len(x) > 2 for k in deletions(x)}
-                sure = False
+                typed, sure = g, False
                 if g and s and local:
-                    if g not in known and g in _FULL:
-                        g = next((f for f in sorted(_FULL[g]) if local in {f"{f}{x}{s}" for x in "._-"} | {f"{s}{x}{f}" for x in "._-"}), g)
-                    plain = g in known or g in NICKNAMES
+                    if g not in known and g in full:
+                        g = next((f for f in full[g] if local in {f"{f}{x}{s}" for x in "._-"} | {f"{s}{x}{f}" for x in "._-"}), g)
                     # a typing error seldom stands in name and address alike, so a full agreement is enough for an unknown name
-                    agree = {g, s} == set(parts) and g not in _FULL
-                    sure = (plain and local in address_forms(g, s)) or agree
-                elif not name and len(parts) == 2 and (parts[0] in known or parts[0] in NICKNAMES):
+                    agree = {g, s} == set(parts) and g not in full
+                    sure = ((g in known or bool(short.get(g))) and local in address_forms(g, s, short.get(g, []))) or agree
+                elif not name and len(parts) == 2 and parts[0] in known:
                     g, i, s, sure = parts[0], parts[0][0], parts[1], True
-                out.append((name, address, n, "person" if (name or local) else "none", g, i, s, local, dom, sure, sorted(keys)))
+                out.append((name, address, n, "person" if (name or local) else "none", g, i, s, local, dom, sure, sorted(keys), full.get(typed, []), typed in known))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
-    names = ["name_typed", "address", "n_seen", "kind", "given", "initial", "surname", "local", "dom", "sure", "keys"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string())]
-    parsed = forms.mapInArrow(
-        read, "name_typed string, address string, n_seen bigint, kind string, given string, initial string, surname string, local string, dom string, sure boolean, keys array<string>"
+    names = ["name_typed", "address", "n_seen", "kind", "given", "initial", "surname", "local", "dom", "sure", "keys", "fulls", "known"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
+    parsed = told.mapInArrow(
+        read, "name_typed string, address string, n_seen bigint, kind string, given string, initial string, surname string, local string, dom string, sure boolean, keys array<string>, fulls array<string>, known boolean"
     ).persist()
 
     # Candidates: people whose name and address agree, ranked by frequency; and companies by domain.
@@ -226,13 +262,14 @@ def link(mentions: DataFrame) -> DataFrame:
     schema = "key string, canon string, freq bigint, cg string, cs string, cd string"
     candidates = canon_people.mapInArrow(spread, schema).unionByName(houses.select("dom", "freq", "words").mapInArrow(spread_houses, schema)).distinct()
     asked = parsed.where("not (kind = 'org' and dom <> '')").withColumn("key", F.explode("keys")).drop("keys", "sure", "n_seen")
-    met = asked.join(candidates, "key").drop("key").distinct()
+    nicks = model.where(F.size("nicks") > 0).select(F.col("word").alias("cg"), F.col("nicks").alias("cn"))
+    met = asked.join(candidates, "key").drop("key").distinct().join(broadcast_if(nicks, BROADCAST_MODEL), "cg", "left")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[tuple[str, str], set[str]] = {}
         for batch in batches:
             p = []
-            for _, _, kind, g, i, s, local, dom, canon, freq, cg, cs, cd in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, _, kind, g, i, s, local, dom, canon, freq, cg, cs, cd, fulls, known, cn in zip(*(c.to_pylist() for c in batch.columns)):
                 if canon[0] == "O":
                     a, b = s.split(), cs.split()
                     same = sum(1 for x in a if any(x == y or (len(x) > 3 and one_edit(x, y)) or (len(x) > 2 and y.startswith(x)) for y in b))
@@ -244,14 +281,14 @@ def link(mentions: DataFrame) -> DataFrame:
                     if f is None:
                         if len(cache) > 50_000:
                             cache.clear()
-                        f = cache[cg, cs] = address_forms(cg, cs)
-                    value = likelihood((cg, cs, cd), (g, i, s, local, dom), f, shared.value)
+                        f = cache[cg, cs] = address_forms(cg, cs, cn or [])
+                    value = likelihood((cg, cs, cd), (g, i, s, local, dom), f, fulls, known)
                 else:
                     value = 0.0
                 p.append(value if value >= MIN_LIKELIHOOD else 0.0)
             yield batch.select(["name_typed", "address", "canon"]).append_column("p", pa.array(p, pa.float64())).append_column("post", pa.array([x * math.log2(2 + f) for x, f in zip(p, batch.column(9).to_pylist())], pa.float64()))
 
-    columns = ["name_typed", "address", "kind", "given", "initial", "surname", "local", "dom", "canon", "freq", "cg", "cs", "cd"]
+    columns = ["name_typed", "address", "kind", "given", "initial", "surname", "local", "dom", "canon", "freq", "cg", "cs", "cd", "fulls", "known", "cn"]
     scored = met.select(*columns).mapInArrow(score, "name_typed string, address string, canon string, p double, post double").where("p > 0")
 
     # One person may write from several houses: candidates of one full name are one entity, named by the most frequent.

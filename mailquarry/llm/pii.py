@@ -68,11 +68,11 @@ _ADDRESSES = (
 _SCAN = re.compile(r"([^\W\d_a-zà-öø-ÿßł](?:[^\W\d_]+|['’-](?=[^\W\d_]))*)|[+(]?\d(?:[-./() \t\r\n>|:}]{0,8}\d){6,}")
 _STREET_HINT = re.compile(rf"^(?:{_STREET}|Box|Am|An|Im|Zum|Zur|Auf)$|(?:straße|strasse|str|allee|weg|gasse|platz|ring|damm|ufer|steig|chaussee)$")
 #: Words that name a company or place after a capitalised word, titles, ordinary words that are names too, and words that follow them when they are not names.
-_COMPANY = frozenset(
+COMPANY = frozenset(
     "accounts advisory analytics associates bank brokerage capital co company corp corporation energy gas generation gmbh group holdings inc limited llc logistics lp ltd marketing metering midstream partners petroleum pipeline plc power resources sa services shipping storage systems team trading transmission transport utilities ventures".split()
 )
 _PLACE = frozenset("bay blvd citygate county court creek drive field flats gate header house hub interconnect island junction lane lateral line meter north parkway plant point pool ridge road south st station street substation terminal tie town unit west zone east".split())
-_TITLES = frozenset("mr mrs ms miss dr prof herr frau sr sra señor señora monsieur madame mme sir".split())
+TITLES = frozenset("mr mrs ms miss dr prof herr frau sr sra señor señora monsieur madame mme sir".split())
 _WORDLIKE = frozenset("will mark grant rose grace frank may april june august bill art sue pat drew dawn faith hope joy chance chase miles rich rob skip victor wade dean earl guy jack josh max melody misty ray robin sandy summer sterling tab tad theo ty van".split())
 _AFTER_WORD = frozenset("the a an it its is was be been this that these those my our your his her their we i you he she they any some all no not do have see up down down in on of for to at as or".split())
 _GREETING = frozenset("hi hello dear hey hola bonjour cher chère estimado estimada querido querida hallo lieber liebe guten tag morning afternoon evening good ciao".split())
@@ -177,13 +177,13 @@ class Names:
             low, plain = word.lower(), fold(word)
             if len(word) == 1:
                 k = "I"
-            elif low in _TITLES:
+            elif low in TITLES:
                 k = "T"
             elif plain in self.given:
                 k = "G"
             elif plain in self.surname:
                 k = "S"
-            elif low in _COMPANY:
+            elif low in COMPANY:
                 k = "C"
             elif low in _PLACE:
                 k = "P"
@@ -365,8 +365,8 @@ def name_model(typed: DataFrame) -> dict[str, tuple[int, int]]:
             for name, address in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 local, _, domain = (address or "").lower().partition("@")
                 parts = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", re.sub(r"\(.*?\)|<.*", "", name or ""))
-                parts = [p for p in parts if len(p) > 1 and p.lower() not in _TITLES]
-                if len(parts) != 2 or "," in name or name.isupper() or parts[1].lower() in _COMPANY or parts[0].islower():
+                parts = [p for p in parts if len(p) > 1 and p.lower() not in TITLES]
+                if len(parts) != 2 or "," in name or name.isupper() or parts[1].lower() in COMPANY or parts[0].islower():
                     continue
                 first, surname = fold(parts[0]), fold(parts[1])
                 if local.endswith(surname) and not (len(surname) > 3 and surname in domain.split(".")[0]):
