@@ -30,7 +30,7 @@ from mailquarry.runtime import broadcast_if
 
 #: A given name stands with at least so many different surnames; rarer ones are taken for typing errors.
 MIN_SURNAMES = 3
-#: A nickname is one if it stands for a name with at least so many surnames; with one only if it begins or ends like the name.
+#: A nickname stands for its name with at least so many surnames; what does so once may be mistyped.
 MIN_NICKNAMED = 2
 #: Rows of the name model that are sent to every executor; a larger one is joined by shuffling.
 BROADCAST_MODEL = 200_000
@@ -143,7 +143,7 @@ def _evidence(mentions: DataFrame) -> DataFrame:
     """(kind, word, other, surname): what single spellings tell about names, their address confirming the surname.
 
     ``given``: a word written before a surname, the address beginning with its letter. ``nick``: two words that stand for each
-    other beside one surname, one in the name and the other in the address; the longer one is the name.
+    other beside one surname, one in the name and the other in the address.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +160,8 @@ def _evidence(mentions: DataFrame) -> DataFrame:
                 if len(words) == 2 == len(parts) and local not in _ROLES:
                     for own, surname in (words, words[::-1]):
                         there = parts[1] if parts[0] == surname else parts[0] if parts[1] == surname else ""
-                        if there and own not in parts and len(there) > 1 and not one_edit(own, there):
-                            rows.add(("nick", max(own, there, key=lambda w: (len(w), w)), min(own, there, key=lambda w: (len(w), w)), surname))
+                        if there and own not in parts and min(len(own), len(there)) > 2 and not one_edit(own, there):
+                            rows.add(("nick", min(own, there), max(own, there), surname))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["kind", "word", "other", "surname"])
 
     return mentions.select("name_typed", "address").distinct().mapInArrow(read, "kind string, word string, other string, surname string").distinct()
@@ -170,14 +170,17 @@ def _evidence(mentions: DataFrame) -> DataFrame:
 def name_model(mentions: DataFrame) -> DataFrame:
     """(word, given, fulls, nicks): whether a folded word is a known given name, the names it may stand for, and those that may stand for it.
 
-    A given name stands before at least MIN_SURNAMES surnames.
+    A given name stands before at least MIN_SURNAMES surnames. Of two words that stand for each other the one that stands
+    before more surnames is the name, else the longer one.
     """
     evidence = _evidence(mentions).persist()
-    given = evidence.where("kind = 'given'").groupBy("word").agg(F.countDistinct("surname").alias("n")).where(F.col("n") >= MIN_SURNAMES).select("word")
-    alike = (F.substring("word", 1, 1) == F.substring("other", 1, 1)) | F.col("word").endswith(F.col("other"))
-    nicks = evidence.where("kind = 'nick'").groupBy("word", "other").agg(F.countDistinct("surname").alias("n")).where((F.col("n") >= MIN_NICKNAMED) | alike)
-    # the longer word must be a known name, or stand for more than one surname
-    nicks = nicks.join(given.withColumn("known", F.lit(True)), "word", "left").where(F.col("known") | (F.col("n") >= MIN_NICKNAMED)).select("word", "other")
+    counted = evidence.where("kind = 'given'").groupBy("word").agg(F.countDistinct("surname").alias("n"))
+    given = counted.where(F.col("n") >= MIN_SURNAMES).select("word")
+    pairs = evidence.where("kind = 'nick'").groupBy("word", "other").agg(F.countDistinct("surname").alias("times"))
+    pairs = pairs.join(counted.withColumnRenamed("n", "a"), "word", "left").join(counted.select(F.col("word").alias("other"), F.col("n").alias("b")), "other", "left")
+    a, b = (F.struct(F.coalesce(n, F.lit(0)).alias("n"), F.length(w).alias("l"), F.col(w).alias("w")) for n, w in (("a", "word"), ("b", "other")))
+    pairs = pairs.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"), "times").select(F.col("x.w").alias("word"), F.col("y.w").alias("other"), "times")
+    nicks = pairs.where(F.col("times") >= MIN_NICKNAMED).select("word", "other")
     none = F.lit(None).cast("string")
     rows = given.select("word", F.lit(True).alias("given"), none.alias("full"), none.alias("nick"))
     rows = rows.unionByName(nicks.select("word", F.lit(False).alias("given"), none.alias("full"), F.col("other").alias("nick")))

@@ -245,11 +245,13 @@ def test_name_links(spark):
     rows = [
         (1, "Maren Yarumison", "maren.yarumison@x.example", 9), (2, "Yarumison, Maren K.", "MAREN.YARUMISON@X.EXAMPLE", 1), (3, "Marren Yarumison", "maren_yarumison@x.example", 1), (4, "M. Yarumison", "myarumison@x.example", 1), (5, None, "maren.yarumison@mail.x.example", 1),
         (6, "Oswald Yarumison", "oswald.yarumison@x.example", 5), (7, "YARUMISON MAREN", None, 1), (8, "Kelfiway Storage LLC", "billing@kelfiwaystorage.example", 3), (9, "Storage, Kelfiway", None, 1), (10, None, None, 1), (11, None, None, 1), (12, "Ozzie Yarumison", "oyarumison@x.example", 1), (None, "x", "y", 1),
+        # what the nickname is learned from
+        (13, "Ozzie Brandgard", "oswald.brandgard@y.example", 1), (14, "Oswald Farnholm", "ozzie.farnholm@z.example", 1), (15, "Oswald Farnholm", "oswald.farnholm@z.example", 1),
     ]
     df = spark.createDataFrame(rows, "mention_id bigint, name_typed string, address string, n_seen int")
     groups: dict = {}
     for r in namelinks.link(df).collect():
         groups.setdefault(r["entity"], set()).add(r["mention_id"])
-    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4, 5, 7], [6, 12], [8, 9], [10], [11]]
-    assert namelinks.linked_pairs(df).count() == 15 + 1 + 1
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4, 5, 7], [6, 12], [8, 9], [10], [11], [13], [14, 15]]
+    assert namelinks.linked_pairs(df).count() == 15 + 1 + 1 + 1
     assert namelinks.one_edit("lorpasmroe", "lorpasmore") and not namelinks.one_edit("abcd", "badc")
