@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.runtime import first_deliveries
+from mailquarry.runtime import first_deliveries, small_enough
 
 TYPES = ("name", "email", "phone", "id_number", "address")
-#: The name model keeps at most so many words, the most frequent ones; it is sent to every worker.
-MAX_NAME_WORDS = 200_000
+#: A name model of at most so many words is sent to every worker; of a larger one every message gets the words that it holds.
+BROADCAST_NAME_WORDS = 200_000
 MIN_SCORE = 0.5
 
 # A gap between the parts of a wrapped item: spaces, or a line end with the next line's quote marks.
@@ -356,8 +356,8 @@ def mask(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def name_model(typed: DataFrame) -> dict[str, tuple[int, int]]:
-    """The name model of ``typed`` (name, address): names written given name first, whose address repeats the surname."""
+def name_model(typed: DataFrame) -> DataFrame:
+    """(word, given, surname): the name model of ``typed`` (name, address): names written given name first, whose address repeats the surname."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,8 +376,34 @@ def name_model(typed: DataFrame) -> dict[str, tuple[int, int]]:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(given, pa.int64()), pa.array(last, pa.int64())], ["word", "given", "surname"])
 
     counted = typed.distinct().mapInArrow(read, "word string, given bigint, surname bigint").groupBy("word").agg(F.sum("given").alias("given"), F.sum("surname").alias("surname"))
-    top = counted.orderBy(F.desc(F.col("given") + F.col("surname")), "word").limit(MAX_NAME_WORDS)
-    return {r["word"]: (r["given"], r["surname"]) for r in top.collect()}  # bounded by MAX_NAME_WORDS
+    return counted.persist()
+
+
+def _modelled(rows: DataFrame, model: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, dict[str, tuple[int, int]] | None]:
+    """``rows`` (id, fields) with a column ``model``, and the model if it is small enough to be sent to every worker.
+
+    A larger model is joined by word: each message then has the part of it that its own words need, so no word is left out.
+    """
+    if small_enough(model, BROADCAST_NAME_WORDS):
+        return rows.withColumn("model", F.lit(None).cast("array<struct<word:string,given:bigint,surname:bigint>>")), {r["word"]: (r["given"], r["surname"]) for r in model.collect()}
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted({fold(m[1].removesuffix("'s").removesuffix("’s").removesuffix("'S")) for text in texts for m in _SCAN.finditer(text or "") if m[1]}) for texts in zip(*(batch.column(k + 1).to_pylist() for k in range(len(fields))))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["id", "words"])
+
+    asked = rows.select("id", *fields).mapInArrow(words, "id string, words array<string>").select("id", F.explode("words").alias("word"))
+    told = asked.join(model, "word").groupBy("id").agg(F.collect_list(F.struct("word", "given", "surname")).alias("model"))
+    return rows.join(told, "id", "left"), None
+
+
+def _names(shared, batch: pa.RecordBatch, column: int) -> Iterator[Names]:
+    """The names of each row: one model for all, or the row's own."""
+    if shared is not None:
+        while True:
+            yield shared
+    for rows in batch.column(column).to_pylist():
+        yield Names({r["word"]: (r["given"], r["surname"]) for r in rows or ()})
 
 
 def typed_names(mails: DataFrame, mailboxes: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -390,35 +416,35 @@ def typed_names(mails: DataFrame, mailboxes: DataFrame, mentions: DataFrame) ->
     return senders.unionByName(to).unionByName(owners).unionByName(known).where("name is not null and address is not null").distinct()
 
 
-def spans(mails: DataFrame, model: dict[str, tuple[int, int]], fields: tuple[str, ...] = ("body", "quoted_text")) -> DataFrame:
+def spans(mails: DataFrame, model: DataFrame, fields: tuple[str, ...] = ("body", "quoted_text")) -> DataFrame:
     """(id, field_name, pii_type, start_pos, end_pos) of ``mails`` (id, arrival, and the fields)."""
-    shared = mails.sparkSession.sparkContext.broadcast(model)
+    once, whole = _modelled(first_deliveries(mails.select("id", "arrival", *fields)).select("id", *fields), model, fields)
+    shared = mails.sparkSession.sparkContext.broadcast(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(shared.value)
+        every = None if shared.value is None else Names(shared.value)
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for k, field in enumerate(fields):
-                for ident, text in zip(batch.column(0).to_pylist(), batch.column(k + 1).to_pylist()):
+                for ident, text, names in zip(batch.column(0).to_pylist(), batch.column(k + 1).to_pylist(), _names(every, batch, len(fields) + 1)):
                     for s, e, what in find(text, names):
                         for column, value in zip(out, (ident, field, what, s, e)):
                             column.append(value)
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["id", "field_name", "pii_type", "start_pos", "end_pos"])
 
-    once = first_deliveries(mails.select("id", "arrival", *fields)).select("id", *fields)
     return once.mapInArrow(run, "id string, field_name string, pii_type string, start_pos int, end_pos int")
 
 
-def masked(mails: DataFrame, model: dict[str, tuple[int, int]], fields: tuple[str, ...] = ("body", "quoted_text")) -> DataFrame:
+def masked(mails: DataFrame, model: DataFrame, fields: tuple[str, ...] = ("body", "quoted_text")) -> DataFrame:
     """(id, and the fields with placeholders), one row per distinct id."""
-    shared = mails.sparkSession.sparkContext.broadcast(model)
+    once, whole = _modelled(first_deliveries(mails.select("id", "arrival", *fields)).select("id", *fields), model, fields)
+    shared = mails.sparkSession.sparkContext.broadcast(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(shared.value)
+        every = None if shared.value is None else Names(shared.value)
         for batch in batches:
-            columns = [pa.array([mask(t, find(t, names)) for t in batch.column(k + 1).to_pylist()], pa.string()) for k in range(len(fields))]
+            columns = [pa.array([mask(t, find(t, names)) for t, names in zip(batch.column(k + 1).to_pylist(), _names(every, batch, len(fields) + 1))], pa.string()) for k in range(len(fields))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *fields])
 
-    once = first_deliveries(mails.select("id", "arrival", *fields)).select("id", *fields)
     return once.mapInArrow(run, "id string, " + ", ".join(f"{f} string" for f in fields))

@@ -27,7 +27,7 @@ def _bodies(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "emails").select("id", F.col("body").alias("text"))
 
 
-def _name_model(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
+def _name_model(spark: SparkSession, d: str) -> DataFrame:
     return pii.name_model(pii.typed_names(read_table(spark, d, "emails"), read_table(spark, d, "mailboxes"), read_table(spark, d, "name_mentions")))
 
 

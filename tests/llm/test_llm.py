@@ -190,6 +190,16 @@ def test_personal_data():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97("GB82WEST12345698765432")
 
 
+def test_a_large_name_model_is_joined_by_word(spark, monkeypatch):
+    model = spark.createDataFrame([("maren", 9, 0), ("yarumison", 0, 9), ("rosalind", 5, 0)], "word string, given bigint, surname bigint")
+    rows = [("a", 1, "Dear Maren's team, ask Rosalind Yarumison.", "Hi Maren"), ("b", 2, None, ""), ("c", 3, "no names here", None), (None, 4, "Maren", None), ("a", 5, "other", None)]
+    df = spark.createDataFrame(rows, "id string, arrival bigint, body string, quoted_text string")
+    small, masked = pii.spans(df, model).collect(), pii.masked(df, model).collect()
+    monkeypatch.setattr(pii, "BROADCAST_NAME_WORDS", 1)
+    assert sorted(pii.spans(df, model).collect()) == sorted(small) and len(small) == 3
+    assert {r["id"]: r["body"] for r in pii.masked(df, model).collect()} == {r["id"]: r["body"] for r in masked} == {"a": "Dear [NAME]'s team, ask [NAME].", "b": None, "c": "no names here"}
+
+
 def states(body, names=("maren", "yarumison")):
     return [i + 1 for i, (x, s) in enumerate(zip(body.split("\n"), newtext.line_states(body, set(names)))) if s == newtext.NEW and x.strip()]
 
