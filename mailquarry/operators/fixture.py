@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailquarry.operators.facets import filled_histogram, month_histogram, named_values
+from mailquarry.operators.retrieval import met_by
 
 #: Words that are not searched for, and the concepts that a query word stands for.
 STOP = "the a an of to and or in on for is are was were that this it with as at by be from".split()
@@ -42,14 +43,16 @@ def wanted(asked: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, id): the documents within a query's filters, by substrings of addresses and names; ``before`` includes its day."""
 
-    def any_of(needles: str, hay: Column) -> Column:
+    def any_of(needles: Column, hay: Column) -> Column:
         return (F.size(needles) == 0) | F.exists(needles, lambda n: F.exists(hay, lambda h: F.contains(F.lower(h), F.lower(n))))
 
-    who, to, cc = F.array(_empty("from_addr"), _empty("from_name")), F.array_compact(F.coalesce("to_addrs", F.array())), F.array_compact(F.coalesce("cc_addrs", F.array()))
-    late = F.col("after").isNull() | F.coalesce(F.col("at") >= F.col("after").cast("timestamp"), F.lit(False))
-    early = F.col("before").isNull() | F.coalesce(F.col("at") < F.date_add("before", 1).cast("timestamp"), F.lit(False))
-    narrow = F.broadcast(asked.where("filtered").select("query_id", "senders", "receivers", "copied", "after", "before"))
-    return docs.join(narrow, any_of("senders", who) & any_of("receivers", to) & any_of("copied", cc) & late & early).select("query_id", "id")
+    def fits(q: Column) -> Column:
+        who, to, cc = F.array(_empty("from_addr"), _empty("from_name")), F.array_compact(F.coalesce("to_addrs", F.array())), F.array_compact(F.coalesce("cc_addrs", F.array()))
+        late = q["after"].isNull() | F.coalesce(F.col("at") >= q["after"].cast("timestamp"), F.lit(False))
+        early = q["before"].isNull() | F.coalesce(F.col("at") < F.date_add(q["before"], 1).cast("timestamp"), F.lit(False))
+        return any_of(q["senders"], who) & any_of(q["receivers"], to) & any_of(q["copied"], cc) & late & early
+
+    return met_by(docs, asked.where("filtered").select("query_id", "senders", "receivers", "copied", "after", "before"), fits)
 
 
 def keyword_scores(docs: DataFrame, asked: DataFrame) -> DataFrame:

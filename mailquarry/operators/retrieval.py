@@ -22,6 +22,16 @@ WINDOW = 120
 K1, B = 1.2, 0.75
 
 
+def met_by(docs: DataFrame, queries: DataFrame, fits: Callable[[Column], Column]) -> DataFrame:
+    """(query_id, id): the documents that fit each query; the query set is packed into blocks that every document meets once.
+
+    ``fits`` is a predicate of a query as a struct, over the columns of the documents.
+    """
+    many = max(1, -(-queries.count() // QUERY_BLOCK))
+    packed = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(many)).alias("block")).agg(F.collect_list(F.struct(*queries.columns)).alias("queries")).select("queries")
+    return docs.crossJoin(F.broadcast(packed)).select("id", F.explode(F.transform(F.filter("queries", fits), lambda q: q["query_id"])).alias("query_id")).select("query_id", "id")
+
+
 @dataclass(frozen=True)
 class Field:
     """A searched field: how its text is read, and how much its matches count."""
@@ -156,13 +166,13 @@ def field_scores(docs: DataFrame, asked: DataFrame, fields: list[Field], fuzzy:
     return per_field.where("hits >= least").select("query_id", "field", "id", "s")
 
 
-def bm25_leg(docs: DataFrame, asked: DataFrame, fields: list[Field], fuzzy: bool = True, allowed: DataFrame | None = None) -> DataFrame:
+def bm25_leg(docs: DataFrame, asked: DataFrame, fields: list[Field], fuzzy: bool = True, allowed: DataFrame | None = None, quoted: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score): the whole match set of the keyword leg, free terms and phrases together; both must match where both are asked for.
 
-    A phrase counts 3 in the subject and 1 in the body.
+    A phrase counts 3 in the subject and 1 in the body; ``quoted`` are its matches, if they are known already.
     """
     scored = field_scores(docs, asked, fields, fuzzy, allowed).groupBy("query_id", "id").agg(F.max("s").alias("s"))  # the best field wins
-    quoted = phrase_match(docs, asked, ["subject", "body"])
+    quoted = phrase_match(docs, asked, ["subject", "body"]) if quoted is None else quoted
     if allowed is not None:
         filtered = quoted.join(F.broadcast(asked.select("query_id", "filtered")), "query_id")
         quoted = filtered.where("not filtered").drop("filtered").unionByName(filtered.where("filtered").drop("filtered").join(allowed, ["query_id", "id"], "left_semi"))
@@ -245,7 +255,7 @@ def _neighbours(shared, k: int):
             rows = batch.filter(batch.column(1).is_valid())
             if not rows.num_rows:
                 continue
-            v = np.array(rows.column(1).to_pylist(), dtype=np.float64)
+            v = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
             scores = np.round(q @ v.T, 6)
             # ties at the border are kept, so that ids decide them later
@@ -264,18 +274,16 @@ def embed(rows: DataFrame, dims: int = 64) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots: dict[str, tuple[int, float]] = {}
         for batch in batches:
-            out = np.zeros((batch.num_rows, dims))
-            for i, words in enumerate(batch.column(1).to_pylist()):
-                for w in words:
-                    slot = slots.get(w)
-                    if slot is None:
-                        if len(slots) > 400_000:
-                            slots.clear()
-                        h = int(hashlib.md5(w.encode()).hexdigest()[:6], 16)
-                        slot = slots[w] = (h % dims, 1.0 if (h // dims) % 2 == 0 else -1.0)
-                    out[i, slot[0]] += slot[1]
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            coded = lists.flatten().dictionary_encode()
+            # every different word of a batch is hashed once
+            hashed = np.array([int(hashlib.md5(w.encode()).hexdigest()[:6], 16) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+            slot, sign = hashed % dims, np.where((hashed // dims) % 2 == 0, 1.0, -1.0)
+            words = coded.indices.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            out = np.bincount(row * dims + slot[words], weights=sign[words], minlength=batch.num_rows * dims).reshape(-1, dims)
             length = np.linalg.norm(out, axis=1, keepdims=True)
             out = np.round(out / np.where(length == 0, 1, length), 6)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), dims).cast(pa.list_(pa.float64()))
@@ -293,6 +301,7 @@ def vector_leg(passages: DataFrame, asked: DataFrame, k: int, allowed: DataFrame
     words = asked.select(F.col("query_id").alias("id"), F.concat_ws(" ", "text", F.array_join("phrases", " ")).alias("text"), (F.col("filtered") | (F.size("phrases") > 0)).alias("narrow"))
     queries = embed(words).join(words.drop("text"), "id").select(F.col("id").alias("query_id"), "vector", "narrow").where(F.exists("vector", lambda x: x != 0)).persist()
     vectors = embed(passages).where(F.exists("vector", lambda x: x != 0)).persist()
+    vectors.count()  # made once, before both plans over it start
     wide = knn(vectors, queries.where("not narrow"), k * 8).select("query_id", "id", "score")
     if allowed is None:
         scored = wide
