@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from mailquarry.llm.pii import COMPANY as _COMPANY
 from mailquarry.llm.pii import TITLES as _TITLES
 from mailquarry.llm.pii import fold
-from mailquarry.runtime import broadcast_if
+from mailquarry.runtime import broadcast_if, cut_lineage
 
 #: A given name stands with at least so many different surnames; rarer ones are taken for typing errors.
 MIN_SURNAMES = 3
@@ -173,7 +173,7 @@ def name_model(mentions: DataFrame) -> DataFrame:
     A given name stands before at least MIN_SURNAMES surnames. Of two words that stand for each other the one that stands
     before more surnames is the name, else the longer one.
     """
-    evidence = _made(_evidence(mentions))
+    evidence = cut_lineage(_evidence(mentions))
     counted = evidence.where("kind = 'given'").groupBy("word").agg(F.countDistinct("surname").alias("n"))
     given = counted.where(F.col("n") >= MIN_SURNAMES).select("word")
     pairs = evidence.where("kind = 'nick'").groupBy("word", "other").agg(F.countDistinct("surname").alias("times"))
@@ -188,13 +188,6 @@ def name_model(mentions: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.max("given").alias("given"), F.sort_array(F.collect_set("full")).alias("fulls"), F.sort_array(F.collect_set("nick")).alias("nicks"))
 
 
-def _made(df: DataFrame) -> DataFrame:
-    """``df`` kept and made at once, so that plans that share it do not make it side by side."""
-    df = df.persist()
-    df.count()
-    return df
-
-
 def _words_of(name: str | None, address: str | None) -> set[str]:
     """The folded words under which the model may know a spelling."""
     local, _ = house(address)
@@ -206,7 +199,7 @@ def link(mentions: DataFrame) -> DataFrame:
     rows = mentions.where("mention_id is not null").select("mention_id", "name_typed", "address", F.coalesce("n_seen", F.lit(1)).alias("n_seen")).dropDuplicates(["mention_id"])
     # Distinct spellings are attributed once, whatever the number of mentions that share them.
     forms = rows.groupBy("name_typed", "address").agg(F.sum("n_seen").alias("n_seen"))
-    model = _made(name_model(rows))
+    model = cut_lineage(name_model(rows))
     near = broadcast_if(model, BROADCAST_MODEL)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +246,8 @@ def link(mentions: DataFrame) -> DataFrame:
         read, "name_typed string, address string, n_seen bigint, kind string, given string, initial string, surname string, local string, dom string, sure boolean, keys array<string>, fulls array<string>, known boolean"
     )
 
-    parsed = _made(parsed)
+    # Written once: plans over kept tables hold all that made them, and each later plan would repeat it in the driver.
+    parsed = cut_lineage(parsed)
 
     # Candidates: people whose name and address agree, ranked by frequency; and companies by domain.
     people = parsed.where("kind = 'person' and sure").groupBy("dom", "given", "surname").agg(F.sum("n_seen").alias("freq"))
@@ -322,7 +316,7 @@ def link(mentions: DataFrame) -> DataFrame:
 
 def linked_pairs(mentions: DataFrame) -> DataFrame:
     """(mention_a, mention_b): all pairs of mentions of one entity, mention_a < mention_b."""
-    linked = _made(link(mentions))
+    linked = cut_lineage(link(mentions))
     a = linked.select("entity", F.col("mention_id").alias("mention_a"))
     b = linked.select("entity", F.col("mention_id").alias("mention_b"))
     return a.join(b, "entity").where("mention_a < mention_b").select("mention_a", "mention_b")

@@ -265,3 +265,11 @@ def test_name_links(spark):
     assert sorted(map(sorted, groups.values())) == [[1, 2, 3, 4, 5, 7], [6, 12], [8, 9], [10], [11], [13], [14, 15]]
     assert namelinks.linked_pairs(df).count() == 15 + 1 + 1 + 1
     assert namelinks.one_edit("lorpasmroe", "lorpasmore") and not namelinks.one_edit("abcd", "badc")
+
+
+def test_the_plan_of_links_does_not_repeat_what_made_them(spark):
+    rows = [(1, "Maren Yarumison", "maren.yarumison@x.example", 9), (2, "M. Yarumison", "myarumison@x.example", 1), (3, "Marren Yarumison", None, 1)]
+    pairs = namelinks.linked_pairs(spark.createDataFrame(rows, "mention_id bigint, name_typed string, address string, n_seen int"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "InMemory" not in plan and "Aggregate" not in plan and "MapInArrow" not in plan
+    assert {tuple(r) for r in pairs.collect()} >= {(1, 2)}
