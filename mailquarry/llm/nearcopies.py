@@ -3,17 +3,17 @@
 A text is the set of its distinct ``width``-word shingles. Texts with equal word sequences are one
 *content*. The join finds all pairs of contents whose sets have at least ``threshold`` in common:
 
-1. A sketch of fixed size counts all shingles of the corpus; it orders shingles from rare to frequent.
-2. By the prefix-filter theorem two similar sets share at least k of their (1 - threshold) n + k rarest
-   shingles; k is ``MEETINGS``. Every such shingle is posted under the hash of its neighbourhood (one word more on either side), so that
-   accidental meetings in frequent phrases are few; neighbourhoods that occur in a single thread, known
-   from a second sketch of thread marks, are not posted. Pairs that meet under fewer than k keys are dropped,
-   unless one of them is short. Short texts post the bare shingle as well.
-3. Each posting carries the content's *count vector*: its shingles hashed into 64 groups, 4 bits a count.
-   A list of contents is packed, by size and vector, into the leaves of an R-tree whose boxes hold the
-   coordinate maxima. The sum of coordinate minima bounds the overlap of two boxes and of two vectors, so
-   pairs of leaves and then pairs of contents that cannot reach the threshold are pruned. Long lists are
-   spread over tasks leaf pair by leaf pair; no list is cut.
+1. A sketch of fixed size counts all shingles of the corpus; it orders shingles from rare to frequent. A second
+   one holds marks of the threads in which a shingle was seen: a shingle of a single thread joins nothing.
+2. By the prefix-filter theorem two similar sets meet under a shingle that so many known (not single-thread)
+   shingles of either set follow in that order as the overlap needs. Every shingle that this can hold for is posted with
+   the content, its size and the number of known shingles from it on; pairs of a list whose sizes or numbers
+   cannot reach the threshold are not made. Lists are sorted by size, so that most of those are never looked at.
+3. Each content has a *count vector*: its shingles hashed into ``GROUPS`` groups, 4 bits a count. The sum of coordinate
+   minima bounds the overlap of two contents, so pairs that cannot reach the threshold are pruned where they meet.
+   Vectors are not posted but kept in files of the shared folder, which tasks map. A list beyond ``LONG`` is packed, by
+   size and vector, into the leaves of an R-tree whose boxes hold the coordinate maxima, and spread over tasks leaf
+   pair by leaf pair; no list is cut.
 4. Surviving pairs are verified on their full shingle sets.
 
 Defined results: null subjects and bodies count as empty; texts under ``min_words`` words take no part; a
@@ -23,7 +23,9 @@ are left out; extra columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,18 +36,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry.operators import messages as M
-
-GROUPS = 64
-#: Contents in a leaf; lists up to one leaf are joined where they are gathered.
-LEAF = 256
-#: Texts of at most so many shingles post bare shingles as well.
-SHORT = 40
-#: Sketch sizes, as powers of two: shingle counts, marks of the thread in which a neighbourhood was seen, bits of contents.
-COUNT_BITS, SEEN_BITS, INVOLVED_BITS = 22, 26, 24
-#: Similar texts must meet under so many keys; prefixes are longer by as many shingles, so that they can.
-MEETINGS = 4
+from mailquarry.runtime import checkpoint_dir
+
+GROUPS = 128
+#: Bytes of a count vector.
+VECTOR = GROUPS // 2
+#: Contents in a leaf; longer lists than LONG leaves are spread over the tasks.
+LEAF, LONG = 256, 32
+#: Sketch sizes, as powers of two: shingle counts, marks of the thread in which a shingle was seen, bits of contents.
+COUNT_BITS, SEEN_BITS, INVOLVED_BITS = 23, 25, 24
+#: So many shared shingles may pass for shingles of one thread, as two threads have one mark of 65,535; prefixes are longer by as many.
+LOST = 2
+#: Low bits of a shingle left out where it is posted: shingles that then coincide only share a list.
+DROPPED = 24
+#: Contents are looked for once each, if they are at most this share of the texts.
+FEW_CONTENTS = 0.8
+#: Files of vectors.
+BUCKETS = 64
 #: Pairs of a list compared at once.
-PAIRS_AT_ONCE = 40_000
+PAIRS_AT_ONCE = 200_000
+#: Postings held by a task before their lists are joined.
+ITEMS_HELD = 200_000
 #: Meetings held by a task before those of one pair are summed.
 PAIRS_HELD = 1_000_000
 #: Sketches are sent and summed in blocks of so many bytes.
@@ -79,7 +90,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingled:
-    """The shingles of a batch of texts: parallel arrays doc, hash, key (of the neighbourhood), sorted and distinct per doc."""
+    """The shingles of a batch of texts: parallel arrays doc and hash, sorted and distinct per doc."""
 
     def __init__(self, texts: list[str], min_words: int, width: int):
         flat: list[int] = []
@@ -99,7 +110,7 @@ class Shingled:
         doc = np.repeat(np.arange(len(sizes)), length)
         n = len(w)
         if n < width:
-            self.doc = self.hash = self.key = np.zeros(0, dtype=np.uint64)
+            self.doc = self.hash = np.zeros(0, dtype=np.uint64)
             self.size = np.zeros(len(sizes), dtype=np.int64)
             return
         starts = n - width + 1
@@ -108,19 +119,13 @@ class Shingled:
             h = h * _M[0] + _mix(w[k : k + starts] * _M[k % 5])
         h = _mix(h)
         whole = doc[:starts] == doc[width - 1 :]
-        # neighbours: the word before and the word after, zero beyond the text's ends
-        before = np.zeros(starts, dtype=np.uint64)
-        before[1:] = np.where(doc[: starts - 1] == doc[1:starts], w[: starts - 1], np.uint64(0))
-        after = np.zeros(starts, dtype=np.uint64)
-        after[: starts - 1] = np.where(doc[width - 1 : n - 1] == doc[width:], w[width:], np.uint64(0))
-        key = _mix(h * _M[1] + _mix(before * _M[2]) * _M[3] + _mix(after * _M[4]))
-        d, h, key = doc[:starts][whole], h[whole], key[whole]
+        d, h = doc[:starts][whole], h[whole]
         # one sort by document and the hash's first bits; equal hashes end up side by side
         order = np.argsort((d.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
-        d, h, key = d[order], h[order], key[order]
+        d, h = d[order], h[order]
         new = np.ones(len(d), dtype=bool)
         new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-        self.doc, self.hash, self.key = d[new], h[new], key[new]
+        self.doc, self.hash = d[new], h[new]
         self.size = np.bincount(self.doc, minlength=len(sizes))
 
 
@@ -151,32 +156,32 @@ def _record(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
 
-def first_pass(texts: DataFrame, min_words: int, width: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """(shingle counts, bits of neighbourhoods that occur in more than one thread, members) of all rows of ``texts`` (text, thread, id).
+def first_pass(texts: DataFrame, min_words: int, width: int) -> tuple[np.ndarray, np.ndarray, DataFrame, str | None]:
+    """(shingle counts, bits of shingles that occur in more than one thread, members, vectors) of all rows of ``texts`` (text, thread, id).
 
-    The texts are split once for all three; members is (content, id, thread), distinct and kept.
+    The texts are split once for all three; members is (content, id, thread), distinct and kept; vectors is the folder of the count vectors, if there is one.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["kind", "block", "raw"], [pa.int32(), pa.int32(), pa.binary()]
         counts = np.zeros(1 << COUNT_BITS, dtype=np.uint16)
-        mark, more = np.zeros(1 << SEEN_BITS, dtype=np.uint8), np.zeros(1 << (SEEN_BITS - 3), dtype=np.uint8)
+        mark, more = np.zeros(1 << SEEN_BITS, dtype=np.uint16), np.zeros(1 << (SEEN_BITS - 3), dtype=np.uint8)
         for batch, part in _texts(batches, 0):
             s = Shingled(part, min_words, width)
             if not len(s.rows):
                 continue
             taken, none = batch.take(pa.array(s.rows, pa.int64())), len(s.rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(none, MEMBER, dtype=np.int32)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.array(s.content.view(np.int64)), taken.column(2), taken.column(1)], [*names, "content", "id", "thread"]
+                [pa.array(np.full(none, MEMBER, dtype=np.int32)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.array(s.content.view(np.int64)), taken.column(2), taken.column(1), _binary(count_vectors(s.doc, s.hash, none))], [*names, "content", "id", "thread", "vec"]
             )
             at, n = np.unique((s.hash >> np.uint64(64 - COUNT_BITS)).astype(np.int64), return_counts=True)
             counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
             threads = batch.column(1).to_pylist()
             ids = batch.column(2).to_pylist()
             thread = np.array([xxhash.xxh64_intdigest(threads[i] if threads[i] is not None else f"\0{ids[i]}") for i in s.rows], dtype=np.uint64)
-            # the mark depends on the neighbourhood too, so that two threads don't share their marks throughout
-            own = ((_mix(s.key ^ thread[s.doc]) % np.uint64(255)).astype(np.uint8)) + np.uint8(1)
-            slot = (s.key >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+            # the mark depends on the shingle too, so that two threads don't share their marks throughout
+            own = ((_mix(s.hash ^ thread[s.doc]) % np.uint64(65535)).astype(np.uint16)) + np.uint16(1)
+            slot = (s.hash >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
             slot, own = slot[order], own[order]
             start = np.ones(len(slot), dtype=bool)
@@ -187,16 +192,16 @@ def first_pass(texts: DataFrame, min_words: int, width: int) -> tuple[np.ndarray
             before = mark[slot]
             _set_bits(more, slot[differ | ((before != 0) & (before != own))])
             mark[slot] = np.where(before == 0, own, before)
-        rows = [*_blocks(0, counts.tobytes()), *_blocks(1, mark.tobytes()), *((2, k, r) for _, k, r in _blocks(2, more.tobytes(), BLOCK // 8))]
+        rows = [*_blocks(0, counts.tobytes()), *_blocks(1, mark.tobytes()), *((2, k, r) for _, k, r in _blocks(2, more.tobytes(), BLOCK // 16))]
         made = _record(rows, names, kinds)
-        yield pa.RecordBatch.from_arrays([*made.columns, *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.string(), pa.string()))], [*names, "content", "id", "thread"])
+        yield pa.RecordBatch.from_arrays([*made.columns, *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.string(), pa.string(), pa.binary()))], [*names, "content", "id", "thread", "vec"])
 
     def add(table: pa.Table) -> pa.Table:
         """Sums one block over the tasks: saturating counts, or marks that agree and bits of slots whose marks differ."""
         block = table.column("block")[0].as_py()
-        counts, mark, more = None, None, np.zeros(BLOCK // 8, dtype=np.uint8)
+        counts, mark, more = None, None, np.zeros(BLOCK // 16, dtype=np.uint8)
         for kind, raw in zip(table.column("kind").to_pylist(), table.column("raw").to_pylist()):
-            part = np.frombuffer(zlib.decompress(raw), dtype=np.uint16 if kind == 0 else np.uint8)
+            part = np.frombuffer(zlib.decompress(raw), dtype=np.uint8 if kind == 2 else np.uint16)
             if kind == 0:
                 counts = part.astype(np.int64) if counts is None else counts + part
             elif kind == 1:
@@ -215,22 +220,24 @@ def first_pass(texts: DataFrame, min_words: int, width: int) -> tuple[np.ndarray
         return pa.Table.from_batches([_record(out, ["kind", "block", "raw"], [pa.int32(), pa.int32(), pa.binary()])])
 
     schema = "kind int, block int, raw binary"
-    parts = texts.select("text", "thread", "id").mapInArrow(count, f"{schema}, content bigint, id string, thread string").persist()
+    parts = texts.select("text", "thread", "id").mapInArrow(count, f"{schema}, content bigint, id string, thread string, vec binary").persist()
     members = parts.where((F.col("kind") == MEMBER) & F.col("id").isNotNull()).select("content", "id", "thread").distinct().persist()
     members.count()  # made once, before plans that share it start side by side
+    vectors = _kept_vectors(parts.where(F.col("kind") == MEMBER).select("content", "vec"))
     # Marks and bits of a block meet in one group.
     merged = parts.where(F.col("kind") < MEMBER).select("kind", "block", "raw").groupBy((F.col("kind") > 0).alias("bits"), "block").applyInArrow(add, schema).collect()  # of fixed size, whatever the corpus
     counts, more = np.zeros(2 << COUNT_BITS, dtype=np.uint8), np.zeros(1 << (SEEN_BITS - 3), dtype=np.uint8)
     for row in merged:
         raw = np.frombuffer(zlib.decompress(row["raw"]), dtype=np.uint8)
-        into, size = (counts, BLOCK) if row["kind"] == 0 else (more, BLOCK // 8)
+        into, size = (counts, BLOCK) if row["kind"] == 0 else (more, BLOCK // 16)
         into[row["block"] * size : row["block"] * size + len(raw)] = raw
     parts.unpersist()
-    return counts.view(np.uint16), more, members
+    # for the order alone, 255 steps of the logarithm do
+    return np.round(15.9 * np.log2(counts.view(np.uint16).astype(np.float32) + 1)).astype(np.uint8), more, members, vectors
 
 
 def count_vectors(doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> np.ndarray:
-    """One row of 32 bytes a document: the counts of its shingles in 64 groups, 4 bits each, 15 for 15 or more."""
+    """One row of ``VECTOR`` bytes a document: the counts of its shingles in ``GROUPS`` groups, 4 bits each, 15 for 15 or more."""
     group = ((hashes >> np.uint64(7)) % np.uint64(GROUPS)).astype(np.int64)
     counts = np.bincount(doc * GROUPS + group, minlength=n_docs * GROUPS).reshape(n_docs, GROUPS)
     counts = np.minimum(counts, 15).astype(np.uint8)
@@ -238,13 +245,81 @@ def count_vectors(doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> np.ndarra
 
 
 def _unpack(vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Upper bounds of the 64 counts; a count of 15 may be any number up to the size."""
+    """Upper bounds of the counts; a count of 15 may be any number up to the size."""
     out = np.empty((len(vectors), GROUPS), dtype=np.int16)
     out[:, 0::2], out[:, 1::2] = vectors & 15, vectors >> 4
-    return np.where(out == 15, sizes[:, None], out).astype(np.int16)
+    return np.where(out == 15, np.minimum(sizes, 32767)[:, None], out).astype(np.int16)
+
+
+_POSTING = np.dtype([("content", "<i8"), ("n", "<i4"), ("rest", "<i4"), ("vec", "u1", VECTOR)])
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
+
+
+def _bucket(content: np.ndarray) -> np.ndarray:
+    return (content.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _kept_vectors(vectors: DataFrame) -> str | None:
+    """Writes (content, vec) into files of the shared folder; None if that is no folder of files: then nothing is pruned by vectors."""
+    shared = checkpoint_dir(vectors.sparkSession)
+    if "://" in shared and not shared.startswith("file://"):
+        return None
+    folder = os.path.join(re.sub(r"^file:/*", "/", shared), f"vectors-{uuid.uuid4().hex}")
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["content", "vec"])])
+        content = table.column(0).to_numpy()
+        vec = np.frombuffer(b"".join(table.column(1).to_pylist()), dtype=np.uint8).reshape(-1, VECTOR)
+        content, only = np.unique(content, return_index=True)
+        bucket, vec = _bucket(content), vec[only]
+        os.makedirs(folder, exist_ok=True)
+        for b in np.unique(bucket):
+            # a file appears whole, whatever task attempt wrote it
+            for name, part in (("vec", vec[bucket == b]), ("content", content[bucket == b])):
+                own = f"{folder}/{uuid.uuid4().hex}"
+                with open(own, "wb") as f:
+                    np.save(f, part)
+                os.replace(own, f"{folder}/{b}.{name}.npy")
+        yield pa.RecordBatch.from_arrays([pa.array([len(content)], pa.int64())], ["n"])
 
-_POSTING = np.dtype([("content", "<i8"), ("n", "<i4"), ("vec", "u1", 32)])
+    vectors.repartition(F.pmod("content", F.lit(BUCKETS))).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return folder
+
+
+class _Vectors:
+    """Count vectors of contents from the files of ``folder``, mapped when first asked for; unbounded ones where there is no file."""
+
+    def __init__(self, folder: str | None):
+        self.folder, self.files = folder, {}
+
+    def __call__(self, content: np.ndarray) -> np.ndarray:
+        out = np.full((len(content), VECTOR), 255, dtype=np.uint8)
+        if self.folder is None or not len(content):
+            return out
+        bucket = _bucket(content)
+        order = np.argsort(bucket, kind="stable")
+        at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        for b in range(BUCKETS):
+            rows = order[at[b] : at[b + 1]]
+            if not len(rows):
+                continue
+            if b not in self.files:
+                names = [f"{self.folder}/{b}.{x}.npy" for x in ("content", "vec")]
+                self.files[b] = [np.load(x, mmap_mode="r") for x in names] if all(map(os.path.exists, names)) else None
+            if self.files[b] is not None:
+                known, vec = self.files[b]
+                found = np.minimum(np.searchsorted(known, content[rows]), len(known) - 1)
+                same = known[found] == content[rows]
+                out[rows[same]] = vec[found[same]]
+        return out
+
+
+def _fit(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sizes and known shingles that follow allow the threshold; ``x`` and ``y`` have fields n and rest."""
+    return (np.minimum(x["n"], y["n"]) >= threshold * np.maximum(x["n"], y["n"]) - 1e-9) & (np.minimum(x["rest"], y["rest"]) + LOST >= threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
 
 
 def _leaf_pairs(items: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -256,14 +331,13 @@ def _leaf_pairs(items: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarra
     share = threshold / (1 + threshold)
     for i in range(len(leaves)):
         later = np.arange(i, len(leaves))
-        ok = (low[later] * threshold <= high[i]) & (np.minimum(boxes[i], boxes[later]).sum(axis=1, dtype=np.int64) >= share * (low[i] + low[later]) - 1e-9)
+        ok = (low[later] * threshold <= high[i] + 1e-9) & (np.minimum(boxes[i], boxes[later]).sum(axis=1, dtype=np.int64) >= share * (low[i] + low[later]) - 1e-9)
         for j in later[ok]:
             yield leaves[i], leaves[j]
 
 
-def _met(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the postings x[i], y[i] those whose summed coordinate minima allow the threshold: contents a < b and what the meeting counts for."""
-    xv, yv = x["vec"], y["vec"]
+def _met(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the postings x[i], y[i] with vectors xv[i], yv[i] those whose summed coordinate minima allow the threshold: contents a < b."""
     low, high = np.minimum(xv & 15, yv & 15), np.minimum(xv >> 4, yv >> 4)
     bound = low.sum(axis=1, dtype=np.int32) + high.sum(axis=1, dtype=np.int32)
     full = np.flatnonzero((np.maximum(low, high) == 15).any(axis=1))  # counts of 15 or more are bounded by the size
@@ -271,121 +345,177 @@ def _met(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np
         bound[full] = np.minimum(_unpack(xv[full], x["n"][full]), _unpack(yv[full], y["n"][full])).sum(axis=1, dtype=np.int32)
     ok = (bound >= threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9) & (x["content"] != y["content"])
     x, y = x[ok], y[ok]
-    weight = np.where(np.minimum(x["n"], y["n"]) <= 2 * SHORT, MEETINGS, 1).astype(np.int32)
-    return np.minimum(x["content"], y["content"]), np.maximum(x["content"], y["content"]), weight
+    return np.minimum(x["content"], y["content"]), np.maximum(x["content"], y["content"])
+
+
+def _shingles(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
+def _is_set(bits: np.ndarray, ids: list[str]) -> np.ndarray:
+    at = np.array([xxhash.xxh64_intdigest(x) >> (64 - INVOLVED_BITS) for x in ids], dtype=np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size of the values in all columns of ``ids``."""
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (INVOLVED_BITS - 3), dtype=np.uint8)
+        for batch in batches:
+            for column in batch.columns:
+                _set_bits(bits, np.array([xxhash.xxh64_intdigest(x) >> (64 - INVOLVED_BITS) for x in column.to_pylist()], dtype=np.int64))
+        yield _record(list(_blocks(0, bits.tobytes())), ["kind", "block", "raw"], [pa.int32(), pa.int32(), pa.binary()])
+
+    def either(table: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(r), dtype=np.uint8) for r in table.column("raw").to_pylist()])
+        return pa.Table.from_batches([_record([(0, table.column("block")[0].as_py(), zlib.compress(bits.tobytes(), 1))], ["kind", "block", "raw"], [pa.int32(), pa.int32(), pa.binary()])])
+
+    blocks = "kind int, block int, raw binary"
+    mask = np.zeros(1 << (INVOLVED_BITS - 3), dtype=np.uint8)
+    for row in ids.mapInArrow(involved, blocks).groupBy("block").applyInArrow(either, blocks).collect():
+        raw = np.frombuffer(zlib.decompress(row["raw"]), dtype=np.uint8)
+        mask[row["block"] * BLOCK : row["block"] * BLOCK + len(raw)] = raw
+    return mask
 
 
 def similar_contents(texts: DataFrame, threshold: float, min_words: int, width: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of ``texts`` (id, thread, text): pairs (a, b) of similar contents, a < b; members (content, id, thread)."""
     spark = texts.sparkSession
     sc = spark.sparkContext
-    counted, several, members = first_pass(texts, min_words, width)
+    counted, several, members, folder = first_pass(texts, min_words, width)
     counts, more = sc.broadcast(counted), sc.broadcast(several)
 
+    # Two contents of one and the same thread only are no pair.
+    thread = members.groupBy("content").agg(F.when((F.min("thread") == F.max("thread")) & (F.count("thread") == F.count(F.lit(1))), F.min("thread")).alias("t"), F.min("id").alias("r")).persist()
+    copied = thread.count() <= FEW_CONTENTS * members.count()
+    first = sc.broadcast(_bits(thread.select("r"))) if copied else None
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in _texts(batches, 0):
+        for batch, part in _texts(batches, 0):
+            if first is not None:
+                # one text a content, and the few whose bit is set by chance
+                ids = batch.column(1).to_pylist()
+                part = [t for t, i in zip(part, ids) if i is not None and _is_set(first.value, [i])[0]]
             s = Shingled(part, min_words, width)
             if not len(s.doc):
                 continue
             df = counts.value[(s.hash >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
             # stable, so that equal counts stay in the order of their hashes
             order = np.argsort((s.doc.astype(np.int64) << 16) | df, kind="stable")
-            first = np.concatenate(([0], np.cumsum(s.size)[:-1]))
-            rank = np.arange(len(order)) - first[s.doc[order]]
-            prefix = s.size - np.ceil(threshold * s.size - 1e-9).astype(np.int64) + MEETINGS
-            at = order[rank < prefix[s.doc[order]]]
-            known = _bit(more.value, s.key[at], SEEN_BITS) > 0
-            keys, docs = [s.key[at[known]]], [s.doc[at[known]]]
-            bare = at[(s.size[s.doc[at]] <= SHORT) & (df[at] > 1)]
-            keys.append(s.hash[bare])
-            docs.append(s.doc[bare])
-            key, doc = np.concatenate(keys), np.concatenate(docs)
+            known = (_bit(more.value, s.hash, SEEN_BITS) > 0)[order]
+            order = order[known]
+            doc = s.doc[order]
+            n_known = np.bincount(doc, minlength=len(s.size))
+            rest = np.cumsum(n_known)[doc] - np.arange(len(order))
             # copies of one content within the batch post once
-            _, only = np.unique(s.content, return_index=True)
-            once = np.isin(doc, only)
-            key, doc = key[once], doc[once]
-            vectors = count_vectors(s.doc, s.hash, len(s.size))
-            items = np.zeros(len(doc), dtype=_POSTING)
-            items["content"], items["n"], items["vec"] = s.content[doc].view(np.int64), s.size[doc], vectors[doc]
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_POSTING.itemsize), len(items), [None, pa.py_buffer(items.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), raw.cast(pa.binary())], ["key", "item"])
+            only = np.zeros(len(s.size), dtype=bool)
+            only[np.unique(s.content, return_index=True)[1]] = True
+            at = (rest + LOST >= threshold * s.size[doc] - 1e-9) & only[doc]
+            order, doc, rest = order[at], doc[at], rest[at]
+            yield pa.RecordBatch.from_arrays([pa.array((s.hash[order] >> np.uint64(DROPPED)).view(np.int64)), pa.array(s.content[doc].view(np.int64)), pa.array((s.size[doc] << 32) | rest)], ["key", "content", "sizes"])
 
-    postings = texts.select("text").mapInArrow(post, "key bigint, item binary")
+    postings = texts.select("text", "id").mapInArrow(post, "key bigint, content bigint, sizes bigint")
+
+    share = threshold / (1 + threshold)
+    slim = np.dtype([("content", "<i8"), ("n", "<i4"), ("rest", "<i4")])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["a", "b", "k", "left", "right"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-
-        def short(key: np.ndarray, items: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """All pairs within lists of up to a leaf, many lists at once."""
-            # the i-th item of a list meets the ones after it
-            later = np.repeat(first + size, size) - np.arange(len(items)) - 1
-            begin = 0
-            total = np.cumsum(later)
+        names, kinds = ["a", "b", "left", "right"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        vectors = _Vectors(folder)
+
+        def met(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = _met(x, y, vectors(x["content"]), vectors(y["content"]), threshold)
+            if len(a):
+                none = pa.nulls(len(a), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], names)
+
+        def inside(items: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """All pairs within lists, many lists at once; the items of a list are sorted by size."""
+            of = np.repeat(np.arange(len(size)), size)
+            # an item meets those after it up to the size that its own size and its known shingles allow
+            most = np.floor(np.minimum(items["n"] / threshold, (items["rest"] + LOST) / share - items["n"]) + 1e-6).astype(np.int64)
+            end = np.searchsorted((of << 32) | items["n"], (of << 32) | np.maximum(most, 0), side="right")
+            later = np.maximum(end - np.arange(len(items)) - 1, 0)
+            begin, total = 0, np.cumsum(later)
             while begin < len(items):
                 stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS_AT_ONCE, side="right")))
                 n = later[begin:stop]
                 i = np.repeat(np.arange(begin, stop), n)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
                 begin = stop
-                x, y = items[i], items[j]
-                ok = np.minimum(x["n"], y["n"]) >= threshold * np.maximum(x["n"], y["n"])
-                a, b, k = _met(x[ok], y[ok], threshold)
-                if len(a):
-                    none = pa.nulls(len(a), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k), none, none], names)
+                ok = items["rest"][j] + LOST >= share * (items["n"][i] + items["n"][j]) - 1e-9
+                if ok.any():
+                    yield from met(items[i[ok]], items[j[ok]])
 
         def lists(key: np.ndarray, items: np.ndarray) -> Iterator[pa.RecordBatch]:
             first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
             size = np.diff(np.concatenate((first, [len(key)])))
-            for f, n in zip(first[size > LEAF], size[size > LEAF]):
-                for x, y in _leaf_pairs(items[f : f + n], threshold):
-                    yield _record([(int(x["content"][0]), int(y["content"][0]), 0, x.tobytes(), y.tobytes())], names, kinds)
-            small = np.repeat(size <= LEAF, size)
+            for f, n in zip(first[size > LONG * LEAF], size[size > LONG * LEAF]):
+                long = np.zeros(n, dtype=_POSTING)
+                for name in slim.names:
+                    long[name] = items[name][f : f + n]
+                long["vec"] = vectors(long["content"])
+                for x, y in _leaf_pairs(long, threshold):
+                    yield _record([(int(x["content"][0]), int(y["content"][0]), x.tobytes(), y.tobytes())], names, kinds)
+            small = np.repeat((size <= LONG * LEAF) & (size > 1), size)
             if small.any():
                 key, items = key[small], items[small]
                 first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-                yield from short(key, items, first, np.diff(np.concatenate((first, [len(key)]))))
+                yield from inside(items, first, np.diff(np.concatenate((first, [len(key)]))))
+
+        held_key, held = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=slim)]
+        waiting = 0
+
+        def sorted_lists(last: bool) -> Iterator[pa.RecordBatch]:
+            key, items = np.concatenate(held_key), np.concatenate(held)
+            # the last list may go on in the next batch
+            cut = len(key) if last else int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
+            held_key[:], held[:] = [key[cut:]], [items[cut:]]
+            key, items = key[:cut], items[:cut]
+            if len(key) > 1:
+                order = np.lexsort((-items["rest"], items["content"], items["n"], key))  # copies of one content stand side by side
+                key, items = key[order], items[order]
+                new = np.ones(len(key), dtype=bool)
+                new[1:] = (key[1:] != key[:-1]) | (items["content"][1:] != items["content"][:-1])
+                yield from lists(key[new], items[new])
 
-        held_key, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_POSTING)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.concatenate([held_key, batch.column(0).to_numpy()])
-            items = np.concatenate([held, np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=_POSTING)])
-            order = np.lexsort((items["content"], key))  # copies of one content stand side by side
-            key, items = key[order], items[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (items["content"][1:] != items["content"][:-1])
-            key, items = key[new], items[new]
-            # the last list may go on in the next batch
-            cut = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
-            if cut:
-                yield from lists(key[:cut], items[:cut])
-            held_key, held = key[cut:], items[cut:]
-        if len(held) > 1:
-            yield from lists(held_key, held)
-
-    schema = "a bigint, b bigint, k int, left binary, right binary"
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = np.zeros(batch.num_rows, dtype=slim)
+            sizes = batch.column(2).to_numpy()
+            items["content"], items["n"], items["rest"] = batch.column(1).to_numpy(), sizes >> 32, sizes & 0xFFFFFFFF
+            held_key.append(batch.column(0).to_numpy())
+            held.append(items)
+            waiting += len(items)
+            if waiting > ITEMS_HELD:
+                yield from sorted_lists(False)
+                waiting = 0
+        yield from sorted_lists(True)
+
+    schema = "a bigint, b bigint, left binary, right binary"
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of ``gather`` with a task's meetings of one pair as one row, in blocks of bounded size."""
         held: list[np.ndarray] = []
 
         def one() -> pa.RecordBatch:
-            a, b, k = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.lexsort((b, a))
-            a, b, k = a[order], b[order], k[order]
-            first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            none = pa.nulls(len(first), pa.binary())
+            pairs = np.unique(np.concatenate(held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.add.reduceat(k, first).astype(np.int32)), none, none], ["a", "b", "k", "left", "right"])
+            none = pa.nulls(len(pairs), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(pairs["a"]), pa.array(pairs["b"]), none, none], ["a", "b", "left", "right"])
 
         size = 0
         for batch in gather(batches):
-            if batch.column(3).null_count < batch.num_rows:
+            if batch.column(2).null_count < batch.num_rows:
                 yield batch
                 continue
-            held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
+            pairs = np.zeros(batch.num_rows, dtype=[("a", "<i8"), ("b", "<i8")])
+            pairs["a"], pairs["b"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held.append(pairs)
             size += batch.num_rows
             if size > PAIRS_HELD:
                 yield one()
@@ -393,73 +523,57 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
         if size:
             yield one()
 
-    listed = postings.repartition("key").sortWithinPartitions("key").mapInArrow(summed, schema)
+    listed = postings.repartition("key").sortWithinPartitions("key").mapInArrow(once, schema)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(3), batch.column(4)):
+            for left, right in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(left.as_py(), dtype=_POSTING), np.frombuffer(right.as_py(), dtype=_POSTING)
                 for i in range(len(x)):
-                    fit = y[np.minimum(x["n"][i], y["n"]) >= threshold * np.maximum(x["n"][i], y["n"])]
-                    a, b, k = _met(np.repeat(x[i : i + 1], len(fit)), fit, threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k)], ["a", "b", "k"])
+                    near = y[_fit(x[i : i + 1], y, threshold)]
+                    own = np.repeat(x[i : i + 1], len(near))
+                    a, b = _met(own, near, own["vec"], near["vec"], threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     # Leaf pairs of long lists are spread over the tasks before they are compared; other meetings are shuffled once.
     listed = listed.persist()
     listed.count()  # made once, before the two plans over it start side by side
-    spread = listed.where("left is not null").repartition(F.xxhash64("a", "b", F.length("left"))).mapInArrow(expand, "a bigint, b bigint, k int")
-    met = listed.where("left is null").select("a", "b", "k").unionByName(spread).groupBy("a", "b").agg(F.sum("k").alias("k")).where(F.col("k") >= MEETINGS).select("a", "b")
+    spread = listed.where("left is not null").repartition(F.xxhash64("a", "b", F.length("left"))).mapInArrow(expand, "a bigint, b bigint")
+    met = listed.where("left is null").select("a", "b").unionByName(spread).distinct()
 
-    # Two contents of one and the same thread only are no pair.
-    thread = members.groupBy("content").agg(F.when((F.min("thread") == F.max("thread")) & (F.count("thread") == F.count(F.lit(1))), F.min("thread")).alias("t"), F.min("id").alias("r"))
     one, two = (thread.select(F.col("content").alias(x), F.col("t").alias(f"t{x}"), F.col("r").alias(f"r{x}")) for x in "ab")
     candidates = met.join(one, "a").join(two, "b").where("ta is null or tb is null or ta <> tb").select("a", "b", "ra", "rb").persist()
 
-    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (INVOLVED_BITS - 3), dtype=np.uint8)
-        for batch in batches:
-            for column in batch.columns:
-                _set_bits(bits, np.array([xxhash.xxh64_intdigest(x) >> (64 - INVOLVED_BITS) for x in column.to_pylist()], dtype=np.int64))
-        yield _record(list(_blocks(0, bits.tobytes())), ["kind", "block", "raw"], [pa.int32(), pa.int32(), pa.binary()])
-
-    def either(table: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(r), dtype=np.uint8) for r in table.column("raw").to_pylist()])
-        return pa.Table.from_batches([_record([(0, table.column("block")[0].as_py(), zlib.compress(bits.tobytes(), 1))], ["kind", "block", "raw"], [pa.int32(), pa.int32(), pa.binary()])])
-
-    blocks = "kind int, block int, raw binary"
-    mask = np.zeros(1 << (INVOLVED_BITS - 3), dtype=np.uint8)
-    for row in candidates.select("ra", "rb").mapInArrow(involved, blocks).groupBy("block").applyInArrow(either, blocks).collect():  # a filter of fixed size
-        raw = np.frombuffer(zlib.decompress(row["raw"]), dtype=np.uint8)
-        mask[row["block"] * BLOCK : row["block"] * BLOCK + len(raw)] = raw
-    keep = sc.broadcast(mask)
+    keep = sc.broadcast(_bits(candidates.select("ra", "rb")))  # a filter of fixed size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in _texts(batches, 0):
             ids = batch.column(1).to_pylist()
-            at = np.array([xxhash.xxh64_intdigest(x) >> (64 - INVOLVED_BITS) for x in ids], dtype=np.int64)
-            chosen = np.flatnonzero((keep.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            chosen = np.flatnonzero(_is_set(keep.value, ids))
             s = Shingled([part[i] for i in chosen], min_words, width)
             ends = np.cumsum(s.size)
-            raw = [s.hash[e - n : e].tobytes() for n, e in zip(s.size, ends)]
+            # 6 bytes tell the shingles of two texts apart
+            own = s.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+            raw = [own[e - n : e].tobytes() for n, e in zip(s.size, ends)]
             yield pa.RecordBatch.from_arrays([pa.array(s.content.view(np.int64)), pa.array(raw, pa.binary())], ["content", "shingles"])
 
     # Only the representatives of contents in candidate pairs are split again, one text a content.
     wanted = texts.where("id is not null").select("text", "id").mapInArrow(sets, "content bigint, shingles binary")
-    wanted = wanted.dropDuplicates(["content"]).persist()
+    wanted = wanted.persist()
     wanted.count()
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                p, q = _shingles(x), _shingles(y)
+                both = len(np.intersect1d(p, q))
                 ok.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     with_a = candidates.select("a", "b").join(wanted.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a")
     with_b = with_a.join(wanted.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b")
-    pairs = with_b.select("a", "b", "sa", "sb").mapInArrow(overlap, "a bigint, b bigint")
+    pairs = with_b.select("a", "b", "sa", "sb").mapInArrow(overlap, "a bigint, b bigint").distinct()  # a text delivered again is read again
 
     return pairs, members
 
@@ -477,7 +591,9 @@ def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     # copies of one content are similar too; each unordered pair of them once
     both = pairs.join(left, "a").join(right, "b").unionByName(shared.join(left, "a").join(right, "b").where("ia < ib"))
     apart = both.where("ia <> ib and (ta is null or tb is null or ta <> tb)")
-    return apart.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+    found = apart.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    # an id with several texts or threads may give a pair again
+    return found if members.select("id").distinct().count() == members.count() else found.distinct()
 
 
 def copy_classes(texts: DataFrame, threshold: float = 0.6, min_words: int = 30, width: int = 3) -> DataFrame:

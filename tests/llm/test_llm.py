@@ -100,6 +100,52 @@ def test_long_lists_are_joined_leaf_by_leaf(spark, monkeypatch):
     assert nearcopies.near_copies(df).count() == 60 * 59 // 2
 
 
+def circuit(rng, letters):
+    """A text with every run of three of the letters once, in random order: an Euler circuit over the runs of two."""
+    ways = {(a, b): rng.sample(letters, len(letters)) for a in letters for b in letters}
+    path, out = [(letters[0], letters[0])], []
+    while path:
+        left = ways[path[-1]]
+        if left:
+            path.append((path[-1][1], left.pop()))
+        else:
+            out.append(path.pop()[1])
+    return [letters[0], *out[::-1]]
+
+
+def near_pairs(rows):
+    grams = {i: (t, {tuple(x.split()[j : j + 3]) for j in range(len(x.split()) - 2)}) for i, t, x in rows}
+    return {(a, b) for a in grams for b in grams if a < b and grams[a][0] != grams[b][0] and len(grams[a][1] & grams[b][1]) >= 0.6 * len(grams[a][1] | grams[b][1]) - 1e-9}
+
+
+def test_copies_that_share_no_longer_runs_are_found(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for k in range(5):
+        letters = [f"{x}{k}" for x in "abcdef"]
+        for v in range(4):
+            w = circuit(rng, letters)
+            rows.append((f"m{k}{v}", f"t{k}{v}", " ".join(w[: len(w) - rng.randint(0, 60)])))
+    df = spark.createDataFrame(rows, "id string, thread string, text string")
+    want = near_pairs(rows)
+    assert {tuple(r) for r in nearcopies.near_copies(df).collect()} == want and len(want) > 20
+    # the same from lists that are spread over the tasks, and without files of vectors
+    monkeypatch.setattr(nearcopies, "LEAF", 2)
+    monkeypatch.setattr(nearcopies, "LONG", 1)
+    assert {tuple(r) for r in nearcopies.near_copies(df).collect()} == want
+    monkeypatch.setattr(nearcopies, "_kept_vectors", lambda vectors: None)
+    assert {tuple(r) for r in nearcopies.near_copies(df).collect()} == want
+
+
+def test_texts_of_which_there_are_many_copies_are_looked_for_once(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(60)) for _ in range(3)]
+    texts.append(texts[0] + " k l m")
+    rows = [(f"m{k}{v}", f"t{k}{v}", t) for k, t in enumerate(texts) for v in range(4)]
+    got = [tuple(r) for r in nearcopies.near_copies(spark.createDataFrame([*rows, rows[0], (None, "x", texts[0])], "id string, thread string, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == near_pairs(rows) and len(got) == 4 * 6 + 16
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
     vocab = [f"v{i}" for i in range(60)]
