@@ -297,6 +297,18 @@ def test_history_is_found_where_a_subject_is_missing(spark):
     assert got == {("a", 1), ("b", 1), ("c", 1), ("d", 1), ("d", 3), ("e", 1), ("f", 1), ("g", 1), ("g", 3), ("h", 1)}
 
 
+def test_history_of_the_thread_is_found_first_and_under_any_subject(spark):
+    t = [" ".join(f"{w}{k}" for k in range(20)) for w in ("golf", "meter", "plant")]
+    rows = [
+        ("a", "Bo", "bo@x", "deal", t[0], None, "2001-01-01 10:00Z", None, "t1"),
+        ("b", "Al", "al@x", "another matter", f"{t[0]}\n\n{t[1]}", None, "2001-01-02 10:00Z", None, "t1"),
+        ("c", "Al", "al@x", "a third matter", f"{t[2]}\n\n{t[0]}", None, "2001-01-03 10:00Z", None, "t1"),
+        ("d", "Al", "al@x", "another matter", f"{t[0]}\n\n{t[1]}", None, "2001-01-02 10:00Z", None, "t2"),
+    ]
+    got = {tuple(r) for r in newtext.new_lines(*mails(spark, rows)).collect()}
+    assert got == {("a", 1), ("b", 3), ("c", 1), ("d", 1), ("d", 3)}
+
+
 def test_name_links(spark):
     rows = [
         (1, "Maren Yarumison", "maren.yarumison@x.example", 9), (2, "Yarumison, Maren K.", "MAREN.YARUMISON@X.EXAMPLE", 1), (3, "Marren Yarumison", "maren_yarumison@x.example", 1), (4, "M. Yarumison", "myarumison@x.example", 1), (5, None, "maren.yarumison@mail.x.example", 1),
