@@ -3,18 +3,20 @@
 A text is the set of its distinct ``width``-word shingles. Texts with equal word sequences are one
 *content*. The join finds all pairs of contents whose sets have at least ``threshold`` in common:
 
-1. A sketch of fixed size counts all shingles of the corpus; it orders shingles from rare to frequent. A second
-   one holds marks of the threads in which a shingle was seen: a shingle of a single thread joins nothing.
-2. By the prefix-filter theorem two similar sets meet under a shingle that so many known (not single-thread)
+1. A sketch of fixed size counts all shingles of the corpus; it orders shingles from rare to frequent. A shingle that
+   occurs once joins nothing.
+2. By the prefix-filter theorem two similar sets meet under a shingle that so many known (not single)
    shingles of either set follow in that order as the overlap needs. Every shingle that this can hold for is posted with
-   the content, its size and the number of known shingles from it on; pairs of a list whose sizes or numbers
+   the content and the number of known shingles from it on; pairs of a list whose sizes or numbers
    cannot reach the threshold are not made. Lists are sorted by size, so that most of those are never looked at.
 3. Each content has a *count vector*: its shingles hashed into ``GROUPS`` groups, 4 bits a count. The sum of coordinate
    minima bounds the overlap of two contents, so pairs that cannot reach the threshold are pruned where they meet.
-   Vectors are not posted but kept in files of the shared folder, which tasks map. A list beyond ``LONG`` is packed, by
+   Contents, sizes and vectors are not posted but kept in files of the shared folder, which tasks map; a posting has the
+   row in such a file, and postings of a range of shingles are shuffled as one block. A list beyond ``LONG`` is packed, by
    size and vector, into the leaves of an R-tree whose boxes hold the coordinate maxima, and spread over tasks leaf
    pair by leaf pair; no list is cut.
-4. Surviving pairs are verified on their full shingle sets.
+4. Surviving pairs are verified on their full shingle sets, which lie in files of the shared folder too: shuffled is only where.
+   Where that is no folder of files, blocks and pairs carry what else is in the files.
 
 Defined results: null subjects and bodies count as empty; texts under ``min_words`` words take no part; a
 repeated id counts once; ids of one thread are not paired, a null thread is a thread of its own; null ids
@@ -43,26 +45,28 @@ GROUPS = 128
 VECTOR = GROUPS // 2
 #: Contents in a leaf; longer lists than LONG leaves are spread over the tasks.
 LEAF, LONG = 256, 32
-#: Sketch sizes, as powers of two: shingle counts, marks of the thread in which a shingle was seen, bits of contents.
-COUNT_BITS, SEEN_BITS, INVOLVED_BITS = 23, 25, 24
-#: So many shared shingles may pass for shingles of one thread, as two threads have one mark of 65,535; prefixes are longer by as many.
-LOST = 2
-#: Low bits of a shingle left out where it is posted: shingles that then coincide only share a list.
-DROPPED = 24
+#: Sketch sizes, as powers of two: shingle counts, bits of contents.
+COUNT_BITS, INVOLVED_BITS = 24, 24
+#: The order of a shingle that occurs once, in steps of the logarithm of the counts.
+SINGLE = 16
+#: Bits of a shingle that tell its block of postings, and those that are posted: shingles that coincide in both only share a list.
+BLOCK_BITS, KEY_BITS = 13, 24
 #: Contents are looked for once each, if they are at most this share of the texts.
 FEW_CONTENTS = 0.8
-#: Files of vectors.
-BUCKETS = 64
 #: Pairs of a list compared at once.
 PAIRS_AT_ONCE = 200_000
+#: Postings and contents held by a task before they are written as blocks; a content's row has 16 bits.
+POSTINGS_HELD, CONTENTS_HELD = 1_000_000, 60_000
 #: Postings held by a task before their lists are joined.
 ITEMS_HELD = 200_000
+#: Bytes of shingle sets in a file.
+SETS_HELD = 1 << 26
 #: Meetings held by a task before those of one pair are summed.
 PAIRS_HELD = 1_000_000
 #: Sketches are sent and summed in blocks of so many bytes.
 BLOCK = 1 << 18
-#: The kind of a row of the first pass that is a member; smaller ones are parts of sketches.
-MEMBER = 3
+#: The kind of a row of the first pass that is a member; smaller ones are parts of the sketch.
+MEMBER = 1
 #: Documents taken together by a worker.
 BATCH_DOCS = 2_000
 
@@ -129,11 +133,6 @@ class Shingled:
         self.size = np.bincount(self.doc, minlength=len(sizes))
 
 
-def _bit(bits: np.ndarray, values: np.ndarray, power: int) -> np.ndarray:
-    at = (values >> np.uint64(64 - power)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-
-
 def _set_bits(bits: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
@@ -156,84 +155,51 @@ def _record(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
 
-def first_pass(texts: DataFrame, min_words: int, width: int) -> tuple[np.ndarray, np.ndarray, DataFrame, str | None]:
-    """(shingle counts, bits of shingles that occur in more than one thread, members, vectors) of all rows of ``texts`` (text, thread, id).
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` parted by ``by`` as joins part it, so that what is kept of it is not shuffled again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
 
-    The texts are split once for all three; members is (content, id, thread), distinct and kept; vectors is the folder of the count vectors, if there is one.
+def first_pass(texts: DataFrame, min_words: int, width: int) -> tuple[np.ndarray, DataFrame]:
+    """(order of shingles by their counts, members) of all rows of ``texts`` (text, thread, id).
+
+    The texts are split once for both; members is (content, id, thread), distinct, parted by content and kept.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["kind", "block", "raw"], [pa.int32(), pa.int32(), pa.binary()]
         counts = np.zeros(1 << COUNT_BITS, dtype=np.uint16)
-        mark, more = np.zeros(1 << SEEN_BITS, dtype=np.uint16), np.zeros(1 << (SEEN_BITS - 3), dtype=np.uint8)
         for batch, part in _texts(batches, 0):
             s = Shingled(part, min_words, width)
             if not len(s.rows):
                 continue
             taken, none = batch.take(pa.array(s.rows, pa.int64())), len(s.rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(none, MEMBER, dtype=np.int32)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.array(s.content.view(np.int64)), taken.column(2), taken.column(1), _binary(count_vectors(s.doc, s.hash, none))], [*names, "content", "id", "thread", "vec"]
+                [pa.array(np.full(none, MEMBER, dtype=np.int32)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.array(s.content.view(np.int64)), taken.column(2), taken.column(1)], [*names, "content", "id", "thread"]
             )
             at, n = np.unique((s.hash >> np.uint64(64 - COUNT_BITS)).astype(np.int64), return_counts=True)
             counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
-            threads = batch.column(1).to_pylist()
-            ids = batch.column(2).to_pylist()
-            thread = np.array([xxhash.xxh64_intdigest(threads[i] if threads[i] is not None else f"\0{ids[i]}") for i in s.rows], dtype=np.uint64)
-            # the mark depends on the shingle too, so that two threads don't share their marks throughout
-            own = ((_mix(s.hash ^ thread[s.doc]) % np.uint64(65535)).astype(np.uint16)) + np.uint16(1)
-            slot = (s.hash >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            slot, own = slot[order], own[order]
-            start = np.ones(len(slot), dtype=bool)
-            start[1:] = slot[1:] != slot[:-1]
-            first = np.flatnonzero(start)
-            differ = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-            slot, own = slot[first], own[first]
-            before = mark[slot]
-            _set_bits(more, slot[differ | ((before != 0) & (before != own))])
-            mark[slot] = np.where(before == 0, own, before)
-        rows = [*_blocks(0, counts.tobytes()), *_blocks(1, mark.tobytes()), *((2, k, r) for _, k, r in _blocks(2, more.tobytes(), BLOCK // 16))]
+        rows = list(_blocks(0, counts.tobytes()))
         made = _record(rows, names, kinds)
-        yield pa.RecordBatch.from_arrays([*made.columns, *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.string(), pa.string(), pa.binary()))], [*names, "content", "id", "thread", "vec"])
+        yield pa.RecordBatch.from_arrays([*made.columns, *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.string(), pa.string()))], [*names, "content", "id", "thread"])
 
     def add(table: pa.Table) -> pa.Table:
-        """Sums one block over the tasks: saturating counts, or marks that agree and bits of slots whose marks differ."""
-        block = table.column("block")[0].as_py()
-        counts, mark, more = None, None, np.zeros(BLOCK // 16, dtype=np.uint8)
-        for kind, raw in zip(table.column("kind").to_pylist(), table.column("raw").to_pylist()):
-            part = np.frombuffer(zlib.decompress(raw), dtype=np.uint8 if kind == 2 else np.uint16)
-            if kind == 0:
-                counts = part.astype(np.int64) if counts is None else counts + part
-            elif kind == 1:
-                if mark is None:
-                    mark = part
-                else:
-                    differ = (mark != part) & (mark != 0) & (part != 0)
-                    more = more | np.packbits(differ, bitorder="little")
-                    mark = np.where(mark == 0, part, mark)
-            else:
-                more = more | part
-        if counts is not None:
-            out = [(0, block, zlib.compress(np.minimum(counts, 65535).astype(np.uint16).tobytes(), 1))]
-        else:
-            out = [(2, block, zlib.compress(more.tobytes(), 1))]
-        return pa.Table.from_batches([_record(out, ["kind", "block", "raw"], [pa.int32(), pa.int32(), pa.binary()])])
+        """Sums one block over the tasks; for the order alone, 255 steps of the logarithm do."""
+        counts = sum(np.frombuffer(zlib.decompress(raw), dtype=np.uint16).astype(np.int64) for raw in table.column("raw").to_pylist())
+        steps = np.round(15.9 * np.log2(np.minimum(counts, 65535) + 1.0)).astype(np.uint8)
+        return pa.Table.from_batches([_record([(0, table.column("block")[0].as_py(), zlib.compress(steps.tobytes(), 1))], ["kind", "block", "raw"], [pa.int32(), pa.int32(), pa.binary()])])
 
     schema = "kind int, block int, raw binary"
-    parts = texts.select("text", "thread", "id").mapInArrow(count, f"{schema}, content bigint, id string, thread string, vec binary").persist()
-    members = parts.where((F.col("kind") == MEMBER) & F.col("id").isNotNull()).select("content", "id", "thread").distinct().persist()
+    parts = texts.select("text", "thread", "id").mapInArrow(count, f"{schema}, content bigint, id string, thread string").persist()
+    members = _spread(parts.where((F.col("kind") == MEMBER) & F.col("id").isNotNull()).select("content", "id", "thread"), "content").distinct().persist()
     members.count()  # made once, before plans that share it start side by side
-    vectors = _kept_vectors(parts.where(F.col("kind") == MEMBER).select("content", "vec"))
-    # Marks and bits of a block meet in one group.
-    merged = parts.where(F.col("kind") < MEMBER).select("kind", "block", "raw").groupBy((F.col("kind") > 0).alias("bits"), "block").applyInArrow(add, schema).collect()  # of fixed size, whatever the corpus
-    counts, more = np.zeros(2 << COUNT_BITS, dtype=np.uint8), np.zeros(1 << (SEEN_BITS - 3), dtype=np.uint8)
+    merged = parts.where(F.col("kind") < MEMBER).select("kind", "block", "raw").groupBy("block").applyInArrow(add, schema).collect()  # of fixed size, whatever the corpus
+    order = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
     for row in merged:
         raw = np.frombuffer(zlib.decompress(row["raw"]), dtype=np.uint8)
-        into, size = (counts, BLOCK) if row["kind"] == 0 else (more, BLOCK // 16)
-        into[row["block"] * size : row["block"] * size + len(raw)] = raw
+        order[row["block"] * (BLOCK // 2) : row["block"] * (BLOCK // 2) + len(raw)] = raw
     parts.unpersist()
-    # for the order alone, 255 steps of the logarithm do
-    return np.round(15.9 * np.log2(counts.view(np.uint16).astype(np.float32) + 1)).astype(np.uint8), more, members, vectors
+    return order, members
 
 
 def count_vectors(doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> np.ndarray:
@@ -254,72 +220,87 @@ def _unpack(vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _POSTING = np.dtype([("content", "<i8"), ("n", "<i4"), ("rest", "<i4"), ("vec", "u1", VECTOR)])
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
-
-
-def _bucket(content: np.ndarray) -> np.ndarray:
-    return (content.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+#: What a file has of a content.
+_ENTRY = np.dtype([("content", "<i8"), ("n", "<i4"), ("vec", "u1", VECTOR)])
 
 
-def _kept_vectors(vectors: DataFrame) -> str | None:
-    """Writes (content, vec) into files of the shared folder; None if that is no folder of files: then nothing is pruned by vectors."""
-    shared = checkpoint_dir(vectors.sparkSession)
+def _kept_vectors(texts: DataFrame) -> str | None:
+    """A folder for files of contents in the shared folder; None if that is no folder of files: then nothing is pruned by vectors."""
+    shared = checkpoint_dir(texts.sparkSession)
     if "://" in shared and not shared.startswith("file://"):
         return None
-    folder = os.path.join(re.sub(r"^file:/*", "/", shared), f"vectors-{uuid.uuid4().hex}")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["content", "vec"])])
-        content = table.column(0).to_numpy()
-        vec = np.frombuffer(b"".join(table.column(1).to_pylist()), dtype=np.uint8).reshape(-1, VECTOR)
-        content, only = np.unique(content, return_index=True)
-        bucket, vec = _bucket(content), vec[only]
-        os.makedirs(folder, exist_ok=True)
-        for b in np.unique(bucket):
-            # a file appears whole, whatever task attempt wrote it
-            for name, part in (("vec", vec[bucket == b]), ("content", content[bucket == b])):
-                own = f"{folder}/{uuid.uuid4().hex}"
-                with open(own, "wb") as f:
-                    np.save(f, part)
-                os.replace(own, f"{folder}/{b}.{name}.npy")
-        yield pa.RecordBatch.from_arrays([pa.array([len(content)], pa.int64())], ["n"])
-
-    vectors.repartition(F.pmod("content", F.lit(BUCKETS))).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
-    return folder
-
-
-class _Vectors:
-    """Count vectors of contents from the files of ``folder``, mapped when first asked for; unbounded ones where there is no file."""
+    return os.path.join(re.sub(r"^file:/*", "/", shared), f"vectors-{uuid.uuid4().hex}")
+
+
+def _new_file(folder: str, rows: np.ndarray) -> str:
+    """The name of a file of ``folder`` with ``rows``; another one for every attempt of a task."""
+    os.makedirs(folder, exist_ok=True)
+    name = uuid.uuid4().hex
+    with open(f"{folder}/{name}.npy", "xb") as f:
+        np.save(f, rows)
+    return name
+
+
+class _Files(dict):
+    """Name -> rows of the file of ``folder``, mapped when first asked for."""
 
     def __init__(self, folder: str | None):
-        self.folder, self.files = folder, {}
-
-    def __call__(self, content: np.ndarray) -> np.ndarray:
-        out = np.full((len(content), VECTOR), 255, dtype=np.uint8)
-        if self.folder is None or not len(content):
-            return out
-        bucket = _bucket(content)
-        order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        for b in range(BUCKETS):
-            rows = order[at[b] : at[b + 1]]
-            if not len(rows):
-                continue
-            if b not in self.files:
-                names = [f"{self.folder}/{b}.{x}.npy" for x in ("content", "vec")]
-                self.files[b] = [np.load(x, mmap_mode="r") for x in names] if all(map(os.path.exists, names)) else None
-            if self.files[b] is not None:
-                known, vec = self.files[b]
-                found = np.minimum(np.searchsorted(known, content[rows]), len(known) - 1)
-                same = known[found] == content[rows]
-                out[rows[same]] = vec[found[same]]
-        return out
+        self.folder = folder
+
+    def __missing__(self, name: str) -> np.ndarray:
+        rows = self[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+        return rows
+
+
+def _bytes(*columns: tuple[np.ndarray, int]) -> np.ndarray:
+    """Rows of the low bytes of ``columns``, so many of each."""
+    return np.concatenate([np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :n] for x, n in columns], axis=1)
+
+
+def _number(planes: np.ndarray) -> np.ndarray:
+    """The numbers whose bytes are the rows of ``planes``."""
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<i8")[:, 0]
+
+
+def _posted(held: list[tuple], folder: str | None) -> pa.RecordBatch:
+    """The postings held (shingle, row of the content, known shingles from there on; content, size and vector of the rows) in blocks, one a range of shingles."""
+    key, row, rest, content, size, vec = (np.concatenate(x) for x in zip(*held))
+    name = None
+    if folder is not None:
+        entries = np.zeros(len(content), dtype=_ENTRY)
+        entries["content"], entries["n"], entries["vec"] = content.view(np.int64), size, vec
+        name = _new_file(folder, entries)
+    columns = [((key >> np.uint64(64 - BLOCK_BITS - KEY_BITS)), KEY_BITS // 8), (row, 2), (rest, 4)]
+    packed = _bytes(*columns) if folder is not None else _bytes(*columns, (content.view(np.int64)[row], 8), (size[row], 4))
+    block = (key >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    block, packed = block[order], packed[order]
+    first = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1))
+    # byte by byte, as bytes of one place resemble each other
+    raw = [np.ascontiguousarray(packed[a:b].T).tobytes() for a, b in zip(first, [*first[1:], len(block)])]
+    return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int32()), pa.array([name] * len(first), pa.string()), pa.array(raw, pa.binary())], ["block", "file", "raw"])
+
+
+def _read_block(block: int, name: str | None, raw: bytes, files: _Files) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, postings) of a block."""
+    at = KEY_BITS // 8
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(at + (6 if name is not None else 18), -1)
+    items = np.zeros(planes.shape[1], dtype=_POSTING)
+    items["rest"] = _number(planes[at + 2 : at + 6])
+    if name is None:
+        items["content"], items["n"], items["vec"] = _number(planes[at + 6 : at + 14]), _number(planes[at + 14 :]), 255
+    else:
+        entries = files[name][_number(planes[at : at + 2])]
+        for x in _ENTRY.names:
+            items[x] = entries[x]
+    return (block << KEY_BITS) | _number(planes[:at]), items
 
 
 def _fit(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     """Whether sizes and known shingles that follow allow the threshold; ``x`` and ``y`` have fields n and rest."""
-    return (np.minimum(x["n"], y["n"]) >= threshold * np.maximum(x["n"], y["n"]) - 1e-9) & (np.minimum(x["rest"], y["rest"]) + LOST >= threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
+    return (np.minimum(x["n"], y["n"]) >= threshold * np.maximum(x["n"], y["n"]) - 1e-9) & (np.minimum(x["rest"], y["rest"]) >= threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
 
 
 def _leaf_pairs(items: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -385,8 +366,9 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
     """(pairs, members) of ``texts`` (id, thread, text): pairs (a, b) of similar contents, a < b; members (content, id, thread)."""
     spark = texts.sparkSession
     sc = spark.sparkContext
-    counted, several, members, folder = first_pass(texts, min_words, width)
-    counts, more = sc.broadcast(counted), sc.broadcast(several)
+    folder = _kept_vectors(texts)
+    order_of, members = first_pass(texts, min_words, width)
+    steps = sc.broadcast(order_of)
 
     # Two contents of one and the same thread only are no pair.
     thread = members.groupBy("content").agg(F.when((F.min("thread") == F.max("thread")) & (F.count("thread") == F.count(F.lit(1))), F.min("thread")).alias("t"), F.min("id").alias("r")).persist()
@@ -394,6 +376,8 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
     first = sc.broadcast(_bits(thread.select("r"))) if copied else None
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = waiting = 0
         for batch, part in _texts(batches, 0):
             if first is not None:
                 # one text a content, and the few whose bit is set by chance
@@ -402,32 +386,39 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
             s = Shingled(part, min_words, width)
             if not len(s.doc):
                 continue
-            df = counts.value[(s.hash >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+            step = steps.value[(s.hash >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+            # copies of one content within the batch post once
+            only = np.zeros(len(s.size), dtype=bool)
+            only[np.unique(s.content, return_index=True)[1]] = True
+            known = np.flatnonzero((step > SINGLE) & only[s.doc])
             # stable, so that equal counts stay in the order of their hashes
-            order = np.argsort((s.doc.astype(np.int64) << 16) | df, kind="stable")
-            known = (_bit(more.value, s.hash, SEEN_BITS) > 0)[order]
-            order = order[known]
+            order = known[np.argsort((s.doc[known].astype(np.int64) << 16) | step[known], kind="stable")]
             doc = s.doc[order]
             n_known = np.bincount(doc, minlength=len(s.size))
             rest = np.cumsum(n_known)[doc] - np.arange(len(order))
-            # copies of one content within the batch post once
-            only = np.zeros(len(s.size), dtype=bool)
-            only[np.unique(s.content, return_index=True)[1]] = True
-            at = (rest + LOST >= threshold * s.size[doc] - 1e-9) & only[doc]
+            at = rest >= threshold * s.size[doc] - 1e-9
             order, doc, rest = order[at], doc[at], rest[at]
-            yield pa.RecordBatch.from_arrays([pa.array((s.hash[order] >> np.uint64(DROPPED)).view(np.int64)), pa.array(s.content[doc].view(np.int64)), pa.array((s.size[doc] << 32) | rest)], ["key", "content", "sizes"])
+            own = np.unique(doc)
+            if not len(own):
+                continue
+            held.append((s.hash[order], rows + np.searchsorted(own, doc), rest, s.content[own], s.size[own], count_vectors(s.doc, s.hash, len(s.size))[own]))
+            rows, waiting = rows + len(own), waiting + len(order)
+            if waiting > POSTINGS_HELD or rows > CONTENTS_HELD:
+                yield _posted(held, folder)
+                held, rows, waiting = [], 0, 0
+        if held:
+            yield _posted(held, folder)
 
-    postings = texts.select("text", "id").mapInArrow(post, "key bigint, content bigint, sizes bigint")
+    postings = texts.select("text", "id").mapInArrow(post, "block int, file string, raw binary")
 
     share = threshold / (1 + threshold)
-    slim = np.dtype([("content", "<i8"), ("n", "<i4"), ("rest", "<i4")])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["a", "b", "left", "right"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        vectors = _Vectors(folder)
+        files = _Files(folder)
 
         def met(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = _met(x, y, vectors(x["content"]), vectors(y["content"]), threshold)
+            a, b = _met(x, y, x["vec"], y["vec"], threshold)
             if len(a):
                 none = pa.nulls(len(a), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], names)
@@ -436,7 +427,7 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
             """All pairs within lists, many lists at once; the items of a list are sorted by size."""
             of = np.repeat(np.arange(len(size)), size)
             # an item meets those after it up to the size that its own size and its known shingles allow
-            most = np.floor(np.minimum(items["n"] / threshold, (items["rest"] + LOST) / share - items["n"]) + 1e-6).astype(np.int64)
+            most = np.floor(np.minimum(items["n"] / threshold, items["rest"] / share - items["n"]) + 1e-6).astype(np.int64)
             end = np.searchsorted((of << 32) | items["n"], (of << 32) | np.maximum(most, 0), side="right")
             later = np.maximum(end - np.arange(len(items)) - 1, 0)
             begin, total = 0, np.cumsum(later)
@@ -446,7 +437,7 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
                 i = np.repeat(np.arange(begin, stop), n)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
                 begin = stop
-                ok = items["rest"][j] + LOST >= share * (items["n"][i] + items["n"][j]) - 1e-9
+                ok = items["rest"][j] >= share * (items["n"][i] + items["n"][j]) - 1e-9
                 if ok.any():
                     yield from met(items[i[ok]], items[j[ok]])
 
@@ -454,11 +445,7 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
             first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
             size = np.diff(np.concatenate((first, [len(key)])))
             for f, n in zip(first[size > LONG * LEAF], size[size > LONG * LEAF]):
-                long = np.zeros(n, dtype=_POSTING)
-                for name in slim.names:
-                    long[name] = items[name][f : f + n]
-                long["vec"] = vectors(long["content"])
-                for x, y in _leaf_pairs(long, threshold):
+                for x, y in _leaf_pairs(items[f : f + n], threshold):
                     yield _record([(int(x["content"][0]), int(y["content"][0]), x.tobytes(), y.tobytes())], names, kinds)
             small = np.repeat((size <= LONG * LEAF) & (size > 1), size)
             if small.any():
@@ -466,13 +453,13 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
                 first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
                 yield from inside(items, first, np.diff(np.concatenate((first, [len(key)]))))
 
-        held_key, held = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=slim)]
+        held_key, held = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=_POSTING)]
         waiting = 0
 
         def sorted_lists(last: bool) -> Iterator[pa.RecordBatch]:
             key, items = np.concatenate(held_key), np.concatenate(held)
-            # the last list may go on in the next batch
-            cut = len(key) if last else int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
+            # the last block may go on in the next rows
+            cut = len(key) if last else int(np.argmax((key >> KEY_BITS) == (key[-1] >> KEY_BITS)))
             held_key[:], held[:] = [key[cut:]], [items[cut:]]
             key, items = key[:cut], items[:cut]
             if len(key) > 1:
@@ -483,17 +470,14 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
                 yield from lists(key[new], items[new])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            items = np.zeros(batch.num_rows, dtype=slim)
-            sizes = batch.column(2).to_numpy()
-            items["content"], items["n"], items["rest"] = batch.column(1).to_numpy(), sizes >> 32, sizes & 0xFFFFFFFF
-            held_key.append(batch.column(0).to_numpy())
-            held.append(items)
-            waiting += len(items)
-            if waiting > ITEMS_HELD:
-                yield from sorted_lists(False)
-                waiting = 0
+            for row in zip(*(x.to_pylist() for x in batch.columns)):
+                key, items = _read_block(*row, files)
+                held_key.append(key)
+                held.append(items)
+                waiting += len(items)
+                if waiting > ITEMS_HELD:
+                    yield from sorted_lists(False)
+                    waiting = 0
         yield from sorted_lists(True)
 
     schema = "a bigint, b bigint, left binary, right binary"
@@ -523,7 +507,7 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
         if size:
             yield one()
 
-    listed = postings.repartition("key").sortWithinPartitions("key").mapInArrow(once, schema)
+    listed = _spread(postings, "block").sortWithinPartitions("block").mapInArrow(once, schema)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -539,7 +523,7 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
     listed = listed.persist()
     listed.count()  # made once, before the two plans over it start side by side
     spread = listed.where("left is not null").repartition(F.xxhash64("a", "b", F.length("left"))).mapInArrow(expand, "a bigint, b bigint")
-    met = listed.where("left is null").select("a", "b").unionByName(spread).distinct()
+    met = _spread(listed.where("left is null").select("a", "b").unionByName(spread), "a").distinct()
 
     one, two = (thread.select(F.col("content").alias(x), F.col("t").alias(f"t{x}"), F.col("r").alias(f"r{x}")) for x in "ab")
     candidates = met.join(one, "a").join(two, "b").where("ta is null or tb is null or ta <> tb").select("a", "b", "ra", "rb").persist()
@@ -547,33 +531,54 @@ def similar_contents(texts: DataFrame, threshold: float, min_words: int, width:
     keep = sc.broadcast(_bits(candidates.select("ra", "rb")))  # a filter of fixed size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def written() -> pa.RecordBatch:
+            content, size, own = (np.concatenate(x) for x in zip(*held))
+            start = np.cumsum(size) - size
+            if folder is not None:
+                name, raw = _new_file(folder, own), pa.nulls(len(content), pa.binary())
+            else:
+                name, raw = None, pa.array([own[a : a + n].tobytes() for a, n in zip(start, size)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array([name] * len(content), pa.string()), pa.array(start), pa.array(size), raw], ["content", "file", "start", "size", "raw"])
+
         for batch, part in _texts(batches, 0):
             ids = batch.column(1).to_pylist()
             chosen = np.flatnonzero(_is_set(keep.value, ids))
             s = Shingled([part[i] for i in chosen], min_words, width)
-            ends = np.cumsum(s.size)
+            if not len(s.doc):
+                continue
             # 6 bytes tell the shingles of two texts apart
-            own = s.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-            raw = [own[e - n : e].tobytes() for n, e in zip(s.size, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.content.view(np.int64)), pa.array(raw, pa.binary())], ["content", "shingles"])
-
-    # Only the representatives of contents in candidate pairs are split again, one text a content.
-    wanted = texts.where("id is not null").select("text", "id").mapInArrow(sets, "content bigint, shingles binary")
-    wanted = wanted.persist()
+            held.append((s.content, s.size, np.ascontiguousarray(s.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])))
+            if sum(x[2].nbytes for x in held) > SETS_HELD:
+                yield written()
+                held.clear()
+        if held:
+            yield written()
+
+    # Only the representatives of contents in candidate pairs are split again, one text a content; a text delivered again is read again.
+    wanted = texts.where("id is not null").select("text", "id").mapInArrow(sets, "content bigint, file string, start bigint, size bigint, raw binary")
+    wanted = _spread(wanted, "content").dropDuplicates(["content"]).persist()
     wanted.count()
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _Files(folder)
+
+        def shingles(where: dict) -> np.ndarray:
+            if where["file"] is None:
+                return _shingles(where["raw"])
+            return _shingles(files[where["file"]][where["start"] : where["start"] + where["size"]].tobytes())
+
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = _shingles(x), _shingles(y)
-                both = len(np.intersect1d(p, q))
+                p, q = shingles(x), shingles(y)
+                both = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_a = candidates.select("a", "b").join(wanted.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a")
-    with_b = with_a.join(wanted.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b")
-    pairs = with_b.select("a", "b", "sa", "sb").mapInArrow(overlap, "a bigint, b bigint").distinct()  # a text delivered again is read again
+    at_a, at_b = (wanted.select(F.col("content").alias(x), F.struct("file", "start", "size", "raw").alias(f"s{x}")) for x in "ab")
+    pairs = candidates.select("a", "b").join(at_a, "a").join(at_b, "b").select("a", "b", "sa", "sb").mapInArrow(overlap, "a bigint, b bigint")
 
     return pairs, members
 

@@ -146,6 +146,23 @@ def test_texts_of_which_there_are_many_copies_are_looked_for_once(spark):
     assert len(got) == len(set(got)) and set(got) == near_pairs(rows) and len(got) == 4 * 6 + 16
 
 
+def test_near_copies_shuffle_less_than_the_texts(spark):
+    rng = random.Random(13)
+    phrases = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 99)) for _ in range(6)) for _ in range(4000)]
+    rows = []
+    for k in range(3000):
+        text = rng.sample(phrases, 25)
+        rows.append((f"m{k}", f"t{k}", " ".join(text)))
+        if k % 5 == 0:
+            rows.append((f"n{k}", f"u{k}", " ".join([*text[:10], "x y", *text[11:]])))
+    df = spark.createDataFrame(rows, "id string, thread string, text string").repartition(4).persist()
+    df.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert nearcopies.near_copies(df).count() == 600
+    assert written() - before < 2 * sum(len(t) for _, _, t in rows)
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(2)
     vocab = [f"v{i}" for i in range(60)]
